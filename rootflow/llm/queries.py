@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from rootflow.llm import line_dedup
+from rootflow.llm import line_dedup, source_mix
 
 
 def queries() -> dict:
-    return {"op9_line_dedup": line_dedup.op9_line_dedup}
+    return {
+        "op8_source_mix": source_mix.op8_source_mix,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
