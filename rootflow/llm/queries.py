@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rootflow.llm import line_dedup, source_mix
+from rootflow.llm import line_dedup, source_mix, token_file
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": token_file.op1_token_files,
         "op8_source_mix": source_mix.op8_source_mix,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
