@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rootflow.llm import line_dedup, packing, source_mix, token_file
+from rootflow.llm import fingerprints, line_dedup, packing, source_mix, token_file
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_file.op1_token_files,
+        "op6_fingerprints": fingerprints.op6_fingerprints,
         "op8_source_mix": source_mix.op8_source_mix,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
