@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rootflow.llm import fingerprints, line_dedup, packing, source_mix, token_file
+from rootflow.llm import fingerprints, line_dedup, near_dedup, packing, source_mix, token_file
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_file.op1_token_files,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_fingerprints": fingerprints.op6_fingerprints,
         "op8_source_mix": source_mix.op8_source_mix,
         "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op3_near_dedup": near_dedup.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
