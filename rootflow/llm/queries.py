@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rootflow.llm import fingerprints, line_dedup, near_dedup, packing, source_mix, token_file
+from rootflow.llm import fingerprints, language, line_dedup, near_dedup, packing, source_mix, token_file
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_file.op1_token_files,
+        "op2_language": language.op2_language,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_fingerprints": fingerprints.op6_fingerprints,
         "op8_source_mix": source_mix.op8_source_mix,
