@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rootflow.llm import fingerprints, language, line_dedup, near_dedup, packing, source_mix, token_file
+from rootflow.llm import fingerprints, language, line_dedup, near_dedup, packing, source_mix, token_file, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language": language.op2_language,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_fingerprints": fingerprints.op6_fingerprints,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_source_mix": source_mix.op8_source_mix,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
