@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rootflow.llm import ann, fingerprints, language, line_dedup, near_dedup, packing, source_mix, token_file, toxicity
+from rootflow.llm import ann, fingerprints, html_text, language, line_dedup, near_dedup, packing, source_mix, token_file, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": token_file.op1_token_files,
         "op2_language": language.op2_language,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_main_text": html_text.op4_main_text,
         "op5_nearest": ann.op5_nearest,
         "op6_fingerprints": fingerprints.op6_fingerprints,
         "op7_toxicity": toxicity.op7_toxicity,
