@@ -6,8 +6,8 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+from support import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[3]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -44,16 +44,3 @@ def duck():
     for name in sorted(os.listdir(SF)):
         c.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{name}')")
     return c
-
-
-def rows_of(df):
-    """Rows as sorted reprs, columns by name."""
-    names = sorted(df.columns)
-    return names, sorted(repr(tuple(r[n] for n in names)) for r in df.collect())
-
-
-def same(df, duck, sql):
-    found = duck.sql(sql)
-    order = sorted(range(len(found.columns)), key=lambda i: found.columns[i])
-    want = sorted(repr(tuple(r[i] for i in order)) for r in found.fetchall())
-    assert rows_of(df) == (sorted(found.columns), want)

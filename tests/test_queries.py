@@ -1,7 +1,7 @@
 """Every registered query outside the optional parts against its SQL."""
 
 import pytest
-from conftest import same
+from support import same
 
 from rootflow import registry
 
