@@ -38,11 +38,12 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TRIES = 64
 
 
-@lru_cache(maxsize=8)
-def _draws(bins: int) -> np.ndarray:
-    """For each bin its own sequence of bins to borrow from."""
+@lru_cache(maxsize=256)
+def _draws(bins: int, turn: int) -> np.ndarray:
+    """For each bin the next bins to borrow from, in its own fixed sequence; there is no end of turns."""
     with np.errstate(over="ignore"):
-        return (mix(np.arange(bins * _TRIES, dtype=np.uint64) + np.uint64(0x5DEECE66D)) % np.uint64(bins)).astype(np.int64).reshape(bins, _TRIES)
+        x = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(1 << 32) + np.arange(turn * _TRIES, (turn + 1) * _TRIES, dtype=np.uint64)[None, :]
+        return (mix(x + np.uint64(0x5DEECE66D)) % np.uint64(bins)).astype(np.int64)
 
 
 def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray | None:
@@ -56,21 +57,14 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray | None:
     out[own[at]] = hashes[at]
     filled = np.zeros(bins, bool)
     filled[own[at]] = True
-    open_ = np.flatnonzero(~filled)
-    if len(open_):
-        draws = _draws(bins)[open_]
+    open_, t = np.flatnonzero(~filled), 0
+    while len(open_):
+        draws = _draws(bins, t)[open_]
         hit = filled[draws]
         first = hit.argmax(axis=1)
         ok = hit[np.arange(len(open_)), first]
         out[open_[ok]] = out[draws[np.arange(len(open_)), first][ok]]
-        for k in open_[~ok].tolist():  # longer than the table: go on with hashes of the try's number
-            t = _TRIES
-            while True:
-                d = int(mix(np.array([k * 0x1000193 + t], np.uint64))[0] % np.uint64(bins))
-                if filled[d]:
-                    out[k] = out[d]
-                    break
-                t += 1
+        open_, t = open_[~ok], t + 1
     return out
 
 
