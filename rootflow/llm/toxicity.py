@@ -45,7 +45,7 @@ CHANCE = 0.02
 MAX_WORDS = 512
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
-STEPS = 1500
+STEPS = 2500
 BATCH = 256
 RATE = 0.05
 DECAY = 1e-5
@@ -153,6 +153,7 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], 0.0)  # every feature was chosen as a sign of positives
     return w[:-1], float(w[-1])
 
 
@@ -204,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
     surprise = in_all * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
     ratio = np.log((in_positive + 0.5) / (n_positive + 1.0)) - np.log((in_all + 0.5) / (n_all + 1.0))
     sure = (q > base) & (surprise > np.log(len(known) / CHANCE + 1.0))
-    known, ratio, surprise = known[sure], ratio[sure], surprise[sure]
+    odds = (in_all / max(1, n_all)) / (in_positive / n_positive)
+    known, ratio, surprise, odds = known[sure], ratio[sure], surprise[sure], odds[sure]
     if not len(known):
         return None
     # Few, strong words are enough: the fit is dense.
@@ -226,10 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
     p, u = dense(sampled(positives.where(chosen_p), MAX_POSITIVE)), dense(sampled(rows.where(chosen), MAX_UNLABELLED))
     if not len(p) or not len(u):
         return None
-    # Labels may favour toxic texts. Texts with any surely toxic word are a share of all texts, and of the positives:
-    # their ratio bounds the prior from above.
-    with_any = lambda x: float((x > 0).any(axis=1).mean())
-    prior = min(prior, max(0.005, with_any(u) / max(1e-9, with_any(p))))
+    # Labels may favour toxic texts. A word that only toxic texts hold is as frequent among all texts as among the
+    # positives times the prior, so the surest words bound the prior from above.
+    prior = min(prior, max(0.002, float(np.median(odds[np.argsort(-surprise, kind="stable")[:64]]))))
     w, bias = nn_pu(p, u, prior, seed=seed)
     margins, scores = calibrate(p @ w + bias, u @ w + bias, prior)
     return Model(known, (w * ratio).astype(np.float32), bias, margins, scores)
