@@ -7,6 +7,8 @@ a lost executor costs a re-read and never a wrong answer.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid

@@ -230,8 +230,9 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int =
     return Model(languages, (w * (SCALE * idf)[:, None]).astype(np.float32), bias, temperature(logits, np.array([y for *_, y in check])))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred and score to the documents; all their columns stay."""
+def predict(docs: DataFrame, model: Model | None, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the language and its score to the documents; columns of those names are replaced, all others stay."""
+    docs = docs.drop(language, score)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     has_letter = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
 
@@ -245,14 +246,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     top = p.argmax(axis=1)
                     named += [model.languages[i] for i in top]
                     scores.append(p[np.arange(len(top)), top])
-            score = np.concatenate(scores) if scores else np.zeros(b.num_rows)
+            sure = np.concatenate(scores) if scores else np.zeros(b.num_rows)
             ok = np.array(b.column(b.num_columns - 1).to_pylist(), bool) & (model is not None)
             named = [n if o else UNKNOWN for n, o in zip(named or [UNKNOWN] * b.num_rows, ok, strict=True)]
             columns = [b.column(i) for i in range(b.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(np.where(ok, score, 0.0))], [*b.schema.names[:-2], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(np.where(ok, sure, 0.0))], [*b.schema.names[:-2], language, score])
 
     with_text = docs.select("*", F.coalesce("text", F.lit("")).alias("__text"), has_letter.alias("__letter"))
-    return map_batches(with_text, run, f"{fields}, lang_pred string, score double")
+    return map_batches(with_text, run, f"{fields}, `{language}` string, `{score}` double")
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
