@@ -13,15 +13,15 @@ similarity 0.8 shares 3 hashes in one tree with probability 0.51 and in none of
 regions are so full that 4 are needed, 3e-6.
 
 Estimates. Each row carries 4 bits of all its minimum hashes; a candidate goes on if the estimated similarity
-is at least ``PASS`` (some five standard errors below 0.8). Of a class's candidates in one tree, all that can't
-be told from the threshold go on, and of the clear ones (``CLEAR`` or more) the best: two clear neighbours of a
-class are alike enough to be each other's candidates too, so groups stay connected, and a dense group of n
-classes gives on the order of n pairs, not n squared.
+is at least ``PASS`` (some five standard errors below 0.8). Of a class's candidates in one tree those go on that
+connect it with a group of earlier candidates it isn't connected with yet, the likeliest first; so a dense group
+of n classes gives on the order of n pairs, not n squared, and still hangs together.
 
 Confirmation. Only documents in candidate pairs are read again. Both shingle sets are rebuilt from the whole
 texts, and a link needs ``100 * common >= 80 * union`` exactly. This runs in rounds: first the best pairs of
 each class, then, until none is left, the pairs whose sides are not yet in one group. A pair inside a group
-can't change the groups, so nothing is lost, and dense groups need few confirmations.
+can't change the groups. Where a pair fails, the groups it touches go through the forest a second time, now with
+all candidate pairs between different groups; so what the first pass left out is looked at wherever it matters.
 
 Groups. Links are merged by alternating large and small stars (connected components in a logarithmic number of
 rounds), each round a written table. Neither links nor groups visit the driver.
@@ -50,7 +50,6 @@ MIN_PREFIX = 3
 HASHES = 128
 WINDOW = 24
 PASS = 0.61
-CLEAR = 0.93
 SEED = 3
 
 
@@ -96,9 +95,9 @@ def tree_hashes() -> np.ndarray:
     return np.stack([np.concatenate([own[t], np.roll(order[::-1], 7 * t)[: DEPTH - 5]]) for t in range(TREES)])
 
 
-#: A forest row: tree, the tree's hashes, class, set size, 4 bits of all hashes.
+#: A forest row: tree, the tree's hashes, class, set size, the class's label, 4 bits of all hashes.
 _KEY = 1 + 2 * DEPTH
-_ROW = np.dtype([("prefix", f"V{1 + 2 * MIN_PREFIX}"), ("deeper", f"V{2 * (DEPTH - MIN_PREFIX)}"), ("cls", ">i8"), ("n", ">u4"), ("low", "u1", (HASHES // 2,))])
+_ROW = np.dtype([("prefix", f"V{1 + 2 * MIN_PREFIX}"), ("deeper", f"V{2 * (DEPTH - MIN_PREFIX)}"), ("cls", ">i8"), ("n", ">u4"), ("label", ">i8"), ("low", "u1", (HASHES // 2,))])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +108,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((len(sig), _ROW.itemsize), np.uint8)
         rows[:, _KEY : _KEY + 8] = b.column(0).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
         rows[:, _KEY + 8 : _KEY + 12] = b.column(1).to_numpy().astype(">u4").view(np.uint8).reshape(-1, 4)
-        rows[:, _KEY + 12 :] = nibble[:, 0::2] | (nibble[:, 1::2] << 4)
+        rows[:, _KEY + 12 : _KEY + 20] = b.column(3).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
+        rows[:, _KEY + 20 :] = nibble[:, 0::2] | (nibble[:, 1::2] << 4)
         for t in range(TREES):
             rows[:, 0] = t
             rows[:, 1:_KEY] = sig[:, used[t]].reshape(len(sig), -1)
@@ -123,50 +123,64 @@ def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same / HASHES - 1 / 16) / (1 - 1 / 16)
 
 
-def _neighbours(window: int, threshold: float, clear: float):
-    """Streams a tree's rows in order and compares each with those before it that share a long enough prefix."""
+def _neighbours(window: int, threshold: float, spanning: bool):
+    """Streams a tree's rows in order and compares each with those before it that share a long enough prefix.
+
+    ``spanning``: of a row's candidates only those go on that connect it with a group of earlier rows it isn't
+    connected with yet, the likeliest first. Else all go on whose labels differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.zeros(0, _ROW)
+        group: list[int] = []  # of the rows in before
+        made = 0
         for b in batches:
             new = np.frombuffer(b"".join(b.column(0).to_pylist()), _ROW)
             rows = np.concatenate([before, new])
             m, before = len(before), rows[max(0, len(rows) - window) :]
-            ids, sizes, lows = rows["cls"].astype(np.int64), rows["n"].astype(np.int64), rows["low"]
+            ids, sizes, lows, labels = rows["cls"].astype(np.int64), rows["n"].astype(np.int64), rows["low"], rows["label"].astype(np.int64)
             prefix = rows["prefix"].copy()
             # How many rows before it a row shares the prefix with: rows of a region are consecutive.
             first = np.concatenate([[True], prefix[1:] != prefix[:-1]])
             at_all = np.arange(len(rows))
             since = at_all - np.maximum.accumulate(np.where(first, at_all, 0))
-            best, best_at = np.full(len(rows), -1.0), np.full(len(rows), -1)
-            left, right, est = [], [], []
+            found = []
             for back in range(1, window + 1):
                 at = np.flatnonzero(since >= back)
                 at = at[at >= m]
                 if not len(at):
                     break
                 # Sets of sizes further apart can't be that similar.
-                at = at[100 * np.minimum(sizes[at], sizes[at - back]) >= 80 * np.maximum(sizes[at], sizes[at - back])]
+                at = at[(100 * np.minimum(sizes[at], sizes[at - back]) >= 80 * np.maximum(sizes[at], sizes[at - back])) & (labels[at] != labels[at - back])]
                 e = _equal(lows[at], lows[at - back])
-                sure, maybe = e >= clear, (e >= threshold) & (e < clear)
-                left.append(ids[at[maybe] - back])
-                right.append(ids[at[maybe]])
-                est.append(e[maybe])
-                better = sure & (e > best[at])
-                best[at[better]], best_at[at[better]] = e[better], (at - back)[better]
-            found = np.flatnonzero(best_at >= 0)
-            x, y = np.concatenate([*left, ids[best_at[found]]]), np.concatenate([*right, ids[found]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate([*est, best[found]]))], ["a", "b", "est"])
+                some = e >= threshold
+                found.append((at[some], at[some] - back, e[some]))
+            right, left, est = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            if spanning:
+                group += range(made, made + len(new))
+                made += len(new)
+                keep = []
+                order = np.lexsort((-est, right))
+                for k, r, x in zip(order.tolist(), right[order].tolist(), left[order].tolist(), strict=True):
+                    old, own = group[x], group[r]
+                    if old != own:
+                        keep.append(k)
+                        for i in range(max(0, r - window), min(len(group), r + 1)):
+                            if group[i] == own:
+                                group[i] = old
+                group = group[max(0, len(group) - window) :]
+                left, right, est = left[keep], right[keep], est[keep]
+            x, y = ids[left.astype(np.int64)], ids[right.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(est.astype(np.float64))], ["a", "b", "est"])
 
     return run
 
 
-def candidates(classes: DataFrame, window: int = WINDOW, threshold: float = PASS, clear: float = CLEAR) -> DataFrame:
-    """Distinct candidate pairs (a, b, est), a < b, of classes (cls, n, sig)."""
-    forest = map_batches(classes.select("cls", "n", "sig"), _trees, "row binary")
+def candidates(classes: DataFrame, window: int = WINDOW, threshold: float = PASS, spanning: bool = True) -> DataFrame:
+    """Distinct candidate pairs (a, b, est), a < b, of classes (cls, n, sig, label) with different labels."""
+    forest = map_batches(classes.select("cls", "n", "sig", "label"), _trees, "row binary")
     n = parts_for(classes, TREES * classes.count())
     ordered = forest.repartitionByRange(n, "row").sortWithinPartitions("row")
-    found = map_batches(ordered, _neighbours(window, threshold, clear), "a long, b long, est double")
+    found = map_batches(ordered, _neighbours(window, threshold, spanning), "a long, b long, est double")
     return found.where("a < b").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
@@ -217,41 +231,64 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("a", "b", "est", F.coalesce("na", "a").alias("la"), F.coalesce("nb", "b").alias("lb"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, cls, component_id, kept), one for each row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(signatures(docs, k), "signatures")
-    classes = written(sigs.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    pairs = written(candidates(classes), "pairs")
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Rows (cls, text) of the classes in the pairs, one text each."""
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(classes.join(needed, "cls").select("cls", F.col("least").alias("doc_id")), "wanted")
+    wanted = written(classes.join(needed, "cls").select("cls", F.col("least").alias("of")), "wanted")
     # A repeated doc_id may bring another text along, which _own_class drops.
-    found = docs.join(wanted.select(F.col("doc_id").alias("of"), "cls"), docs["doc_id"].eqNullSafe(F.col("of"))).select("cls", to_binary("text").alias("text"))
-    texts = written(map_batches(found, _own_class(k), "cls long, text binary").dropDuplicates(["cls"]), "texts")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("of"))).select("cls", to_binary("text").alias("text"))
+    return written(map_batches(found, _own_class(k), "cls long, text binary").dropDuplicates(["cls"]), "texts")
+
 
-    labels, left, quota, first = None, pairs, 2, 0
+def _merge(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None, k: int, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Labels (node, label) after all links among the pairs, and the pairs that failed."""
+    left, quota, most, failed = pairs, 2, None, []
     while True:
-        cross = (left.select("a", "b", "est", F.col("a").alias("la"), F.col("b").alias("lb")) if labels is None else _labelled(left, labels)).where("la <> lb")
-        cross = written(cross, "cross")
+        cross = left.select("a", "b", "est", F.col("a").alias("la"), F.col("b").alias("lb")) if labels is None else _labelled(left, labels)
+        cross = written(cross.where("la <> lb"), "cross")
         n = cross.count()
         if not n:
-            break
-        if labels is not None and n <= 4 * first:
+            return labels, failed
+        if most is not None and n <= 4 * most:
             picked = cross
         else:
             rank = F.row_number().over(Window.partitionBy(F.greatest("la", "lb")).orderBy(F.col("est").desc(), "a", "b"))
-            picked = cross.withColumn("rank", rank).where(F.col("rank") <= quota).drop("rank")
-        picked = written(picked, "picked")
-        first = picked.count() if labels is None else first
+            picked = written(cross.withColumn("rank", rank).where(F.col("rank") <= quota).drop("rank"), "picked")
+        most = picked.count() if most is None else most
         links = written(confirmed(picked, texts, k, percent), "links")
+        failed.append(written(picked.select("a", "b").join(links, ["a", "b"], "left_anti"), "failed"))
         merged = picked.join(links, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        step = written(components(merged), "labels")
+        step = written(components(merged), "step")
         if labels is None:
             labels = step
         else:
             moved = labels.select("node", F.col("label").alias("was")).join(step.select(F.col("node").alias("was"), F.col("label").alias("now")), "was", "left").select("node", F.coalesce("now", "was").alias("label"))
             labels = written(moved.unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
-        left, quota = written(cross.join(picked.select("a", "b"), ["a", "b"], "left_anti"), "left"), quota * 8
+        left, quota = written(cross.select("a", "b", "est").join(picked.select("a", "b"), ["a", "b"], "left_anti"), "left"), quota * 8
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, n_shingles, cls, component_id, kept), one for each row of (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sigs = written(signatures(docs, k), "signatures")
+    classes = written(sigs.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    pairs = written(candidates(classes.withColumn("label", F.col("cls"))), "pairs")
+    labels, failed = _merge(pairs, _texts(docs, classes, pairs, k), None, k, percent)
+    if labels is not None and not failed[0].isEmpty() or len(failed) > 1:
+        # Where a pair failed, what it would have connected may be linked otherwise: the groups that such pairs
+        # touch go through the forest again, and every candidate pair between different groups is looked at.
+        known = failed[0]
+        for f in failed[1:]:
+            known = known.unionByName(f)
+        sides = known.select(F.col("a").alias("cls")).unionByName(known.select(F.col("b").alias("cls"))).distinct()
+        named = labels.withColumnRenamed("node", "cls")
+        label = F.coalesce("label", "cls")
+        touched = sides.join(named, "cls", "left").select(label.alias("label")).distinct()
+        again = written(classes.join(named, "cls", "left").withColumn("label", label).join(touched, "label", "left_semi"), "again")
+        more = candidates(again, spanning=False).join(known, ["a", "b"], "left_anti")
+        more = written(more, "more")
+        if not more.isEmpty():
+            labels, _ = _merge(more, _texts(docs, classes, more, k), labels, k, percent)
 
     own = classes.select("cls", "least")
     if labels is not None:
