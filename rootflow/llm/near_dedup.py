@@ -235,8 +235,9 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     """Rows (cls, text) of the classes in the pairs, one text each."""
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = written(classes.join(needed, "cls").select("cls", F.col("least").alias("of")), "wanted")
-    # A repeated doc_id may bring another text along, which _own_class drops.
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("of"))).select("cls", to_binary("text").alias("text"))
+    # A repeated doc_id may bring another text along, which _own_class drops. The list of classes grows with the
+    # corpus, so it is never broadcast.
+    found = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(F.col("of"))).select("cls", to_binary("text").alias("text"))
     return written(map_batches(found, _own_class(k), "cls long, text binary").dropDuplicates(["cls"]), "texts")
 
 
