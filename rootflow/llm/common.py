@@ -47,14 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def _clean(spark: SparkSession) -> None:
+    """Deletes this process's intermediate tables when it ends, if the session still lives."""
+    with contextlib.suppress(Exception):
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for x in _made:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/rootflow/{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it is deleted when the process ends."""
+    if not _made:
+        atexit.register(_clean, spark)
+    _made.append(f"{shared_dir(spark)}/rootflow/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read back: its lineage ends here."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
