@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import buffers, documents, map_batches, mix, slices, to_binary, word_hashes
+from rootflow.llm.common import buffers, documents, map_batches, mix, slices, to_binary, word_hashes, written
 from rootflow.llm.language import held_out
 
 BUCKETS = 1 << 18
@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
         return None
     prior = min(0.9, max(0.005, stats["p"] / stats["n"]))
     rows = docs.where("doc_id is not null").select("doc_id", to_binary("text").alias("text"))
-    positives = rows.join(marked.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    # The ids of positives grow with the labels, so they are never broadcast; their texts are met once.
+    positives = written(rows.join(marked.where("toxic = 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "positives")
     counted = map_batches(positives.select(F.lit(1).alias("toxic"), "text"), _count, "bucket int, positive long, other long").groupBy("bucket").agg(F.sum("positive").alias("positive")).toPandas()  # at most BUCKETS + 1 rows
     n_positive = int(counted.loc[counted["bucket"] < 0, "positive"].sum())
     if not n_positive:
