@@ -4,13 +4,11 @@ Signatures. A document's distinct k-word shingles (hashed to 64 bits) give ``HAS
 16 bits each are kept. Documents with equal shingle sets are one class from here on, named by 64 bits of a hash
 of the set; an aggregation finds the classes, so thousands of exact copies weigh as one.
 
-Forest. Each of ``TREES`` trees orders all classes by its own ``DEPTH`` minimum hashes (range partitioning plus
-a sort; the class ends the key, so no group of alike signatures has to stay in one task). Neighbours in that
-order have the longest common prefixes. A class's candidates are the classes before it with which it shares at
-least ``MIN_PREFIX`` hashes: in a small region all of them; in a region with more than ``WINDOW`` classes the
-order itself goes deeper, and the nearest ``WINDOW`` are those with the longest common prefixes. A pair at
-similarity 0.8 shares 3 hashes in one tree with probability 0.51 and in none of 24 trees with 3e-8; where
-regions are so full that 4 are needed, 3e-6.
+Forest. Each of ``TREES`` trees puts classes that share its own ``MIN_PREFIX`` minimum hashes into one region. A
+class's candidates are all other classes of its regions, however many. A region of more than ``BLOCK`` classes is
+dealt into blocks by a hash of the class, and each pair of blocks is a group of rows of its own: so every pair
+of the region meets in one group, and no task gets more than two blocks of it at once. A pair at similarity 0.8
+shares 3 hashes in one tree with probability 0.51 and in none of 24 trees with 3e-8.
 
 Estimates. Each row carries 4 bits of all its minimum hashes; a candidate goes on if the estimated similarity
 is at least ``PASS`` (some five standard errors below 0.8). Of a class's candidates in one tree those go on that
@@ -45,10 +43,10 @@ from pyspark.sql import functions as F
 from rootflow.llm.common import documents, map_batches, mix, parts_for, shingle_sets, to_binary, written
 
 TREES = 24
-DEPTH = 8
 MIN_PREFIX = 3
 HASHES = 128
-WINDOW = 24
+#: Classes of a region that are compared as one group; larger regions are compared block by block.
+BLOCK = 2048
 PASS = 0.61
 SEED = 3
 
@@ -89,98 +87,149 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def tree_hashes() -> np.ndarray:
-    """Which minimum hashes each tree uses; the first five of each are its own."""
-    order = np.random.default_rng(SEED).permutation(HASHES)
-    own = order[: TREES * 5].reshape(TREES, 5)
-    return np.stack([np.concatenate([own[t], np.roll(order[::-1], 7 * t)[: DEPTH - 5]]) for t in range(TREES)])
+    """Which minimum hashes each tree uses, its own each."""
+    return np.random.default_rng(SEED).permutation(HASHES)[: TREES * MIN_PREFIX].reshape(TREES, MIN_PREFIX)
 
 
-#: A forest row: tree, the tree's hashes, class, set size, the class's label, 4 bits of all hashes.
-_KEY = 1 + 2 * DEPTH
-_ROW = np.dtype([("prefix", f"V{1 + 2 * MIN_PREFIX}"), ("deeper", f"V{2 * (DEPTH - MIN_PREFIX)}"), ("cls", ">i8"), ("n", ">u4"), ("label", ">i8"), ("low", "u1", (HASHES // 2,))])
+#: A forest row: region (tree and the tree's hashes), the two blocks, which of them the class is in, class, set size,
+#: the class's label, 4 bits of all hashes.
+_KEY = 12
+_ROW = np.dtype([("key", f"V{_KEY}"), ("side", "u1"), ("cls", ">i8"), ("n", ">u4"), ("label", ">i8"), ("low", "u1", (HASHES // 2,))])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _region_of(sig: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The region in each tree (signatures x trees) as one number: tree and hashes."""
+    h = sig.view(">u2")[:, :, 0].astype(np.uint64)[:, used]
+    out = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(sig), TREES)).copy()
+    for i in range(MIN_PREFIX):
+        out = (out << np.uint64(16)) | h[:, :, i]
+    return out
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES, 2)
+
+
+def _count_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     used = tree_hashes()
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, HASHES, 2)
-        nibble = sig[:, :, 1] & 15
-        rows = np.zeros((len(sig), _ROW.itemsize), np.uint8)
-        rows[:, _KEY : _KEY + 8] = b.column(0).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
-        rows[:, _KEY + 8 : _KEY + 12] = b.column(1).to_numpy().astype(">u4").view(np.uint8).reshape(-1, 4)
-        rows[:, _KEY + 12 : _KEY + 20] = b.column(3).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
-        rows[:, _KEY + 20 :] = nibble[:, 0::2] | (nibble[:, 1::2] << 4)
-        for t in range(TREES):
-            rows[:, 0] = t
-            rows[:, 1:_KEY] = sig[:, used[t]].reshape(len(sig), -1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary())], ["row"])
+        region, n = np.unique(_region_of(_signatures_of(b.column(0)), used), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int64)), pa.array(n.astype(np.int64))], ["region", "n"])
+
+
+def _trees(large: np.ndarray, blocks: np.ndarray):
+    """Forest rows of classes; large regions (sorted numbers) have the given numbers of blocks, others one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = tree_hashes()
+        for b in batches:
+            sig = _signatures_of(b.column(2))
+            nibble = sig[:, :, 1] & 15
+            rows = np.zeros(len(sig), _ROW)
+            cls = b.column(0).to_numpy()
+            rows["cls"], rows["n"], rows["label"] = cls, b.column(1).to_numpy(), b.column(3).to_numpy()
+            rows["low"] = nibble[:, 0::2] | (nibble[:, 1::2] << 4)
+            hashed = mix(cls.astype(np.int64).view(np.uint64))
+            regions = _region_of(sig, used)
+            for t in range(TREES):
+                region, many = regions[:, t], np.ones(len(sig), np.int64)
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, region), len(large) - 1)
+                    many = np.where(large[at] == region, blocks[at], 1)
+                own = (hashed % many.astype(np.uint64)).astype(np.int64)
+                # A row for each block that the class's own block meets, itself among them.
+                of = np.repeat(np.arange(len(sig)), many)
+                other = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                own = own[of]
+                key = np.empty((len(of), _KEY), np.uint8)
+                key[:, :8] = region[of].astype(">u8").view(np.uint8).reshape(-1, 8)
+                key[:, 8:10] = np.minimum(own, other).astype(">u2").view(np.uint8).reshape(-1, 2)
+                key[:, 10:] = np.maximum(own, other).astype(">u2").view(np.uint8).reshape(-1, 2)
+                full = rows[of]
+                full["key"], full["side"] = key.reshape(-1).view(f"V{_KEY}"), own > other
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in key], pa.binary()), pa.array([x.tobytes() for x in full], pa.binary())], ["key", "row"])
+
+    return run
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The estimated similarity of rows of packed 4-bit hashes."""
+    """The estimated similarity of rows of packed 4-bit hashes, 16 in a number."""
     d = x ^ y
-    same = ((d & 15) == 0).sum(axis=1) + ((d & 0xF0) == 0).sum(axis=1)
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    same = HASHES - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
     return (same / HASHES - 1 / 16) / (1 - 1 / 16)
 
 
-def _neighbours(window: int, threshold: float, spanning: bool):
-    """Streams a tree's rows in order and compares each with those before it that share a long enough prefix.
+def _neighbours(threshold: float, spanning: bool):
+    """Streams forest rows in order and compares each with all those before it in its group of rows.
 
     ``spanning``: of a row's candidates only those go on that connect it with a group of earlier rows it isn't
     connected with yet, the likeliest first. Else all go on whose labels differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = np.zeros(0, _ROW)
-        group: list[int] = []  # of the rows in before
-        made = 0
+        before = np.zeros(0, _ROW)  # the rows so far of the group that the next batch may go on with
+        joined = np.zeros(0, np.int64)  # for each of them, what it is connected with
         for b in batches:
             new = np.frombuffer(b"".join(b.column(0).to_pylist()), _ROW)
+            if not len(new):
+                continue
             rows = np.concatenate([before, new])
-            m, before = len(before), rows[max(0, len(rows) - window) :]
-            ids, sizes, lows, labels = rows["cls"].astype(np.int64), rows["n"].astype(np.int64), rows["low"], rows["label"].astype(np.int64)
-            prefix = rows["prefix"].copy()
-            # How many rows before it a row shares the prefix with: rows of a region are consecutive.
-            first = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-            at_all = np.arange(len(rows))
-            since = at_all - np.maximum.accumulate(np.where(first, at_all, 0))
+            m, at_all = len(before), np.arange(len(rows))
+            ids, sizes, labels, side = rows["cls"].astype(np.int64), rows["n"].astype(np.int64), rows["label"].astype(np.int64), rows["side"]
+            lows = np.ascontiguousarray(rows["low"]).view(np.uint64)
+            key = rows["key"].copy()
+            blocks = np.ascontiguousarray(key).view(np.uint8).reshape(-1, _KEY)[:, 8:].copy().view(np.uint16)
+            within = blocks[:, 0] == blocks[:, 1]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            start = np.maximum.accumulate(np.where(first, at_all, 0))
+            since = at_all - start
+            joined = np.concatenate([joined, at_all[m:]])
             found = []
-            for back in range(1, window + 1):
-                at = np.flatnonzero(since >= back)
-                at = at[at >= m]
-                if not len(at):
-                    break
-                # Sets of sizes further apart can't be that similar.
-                at = at[(100 * np.minimum(sizes[at], sizes[at - back]) >= 80 * np.maximum(sizes[at], sizes[at - back])) & (labels[at] != labels[at - back])]
-                e = _equal(lows[at], lows[at - back])
-                some = e >= threshold
-                found.append((at[some], at[some] - back, e[some]))
-            right, left, est = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            for back in range(1, int(since[m:].max()) + 1):
+                at = np.flatnonzero(since[m:] >= back) + m
+                to = at - back
+                # Sets of sizes further apart can't be that similar. Of two blocks only the pairs across are new.
+                some = (100 * np.minimum(sizes[at], sizes[to]) >= 80 * np.maximum(sizes[at], sizes[to])) & (labels[at] != labels[to]) & (within[at] | (side[at] != side[to]))
+                at, to = at[some], to[some]
+                if len(at):
+                    e = _equal(lows[at], lows[to])
+                    some = e >= threshold
+                    found.append((at[some], to[some], e[some]))
+            right, left, est = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             if spanning:
-                group += range(made, made + len(new))
-                made += len(new)
-                keep = []
                 order = np.lexsort((-est, right))
-                for k, r, x in zip(order.tolist(), right[order].tolist(), left[order].tolist(), strict=True):
-                    old, own = group[x], group[r]
-                    if old != own:
-                        keep.append(k)
-                        for i in range(max(0, r - window), min(len(group), r + 1)):
-                            if group[i] == own:
-                                group[i] = old
-                group = group[max(0, len(group) - window) :]
-                left, right, est = left[keep], right[keep], est[keep]
-            x, y = ids[left.astype(np.int64)], ids[right.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(est.astype(np.float64))], ["a", "b", "est"])
+                right, left, est = right[order], left[order], est[order]
+                keep, rest = [], np.arange(len(right))
+                while len(rest):
+                    # Each row's likeliest candidate among those it isn't connected with.
+                    best = rest[np.concatenate([[True], right[rest][1:] != right[rest][:-1]])]
+                    for k in best.tolist():
+                        old, own = joined[left[k]], joined[right[k]]
+                        if old != own:
+                            keep.append(k)
+                            joined[joined == own] = old
+                    rest = rest[joined[left[rest]] != joined[right[rest]]]
+                right, left, est = right[keep], left[keep], est[keep]
+            before, joined = rows[start[-1] :], joined[start[-1] :] - start[-1]
+            x, y = ids[left], ids[right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(est)], ["a", "b", "est"])
 
     return run
 
 
-def candidates(classes: DataFrame, window: int = WINDOW, threshold: float = PASS, spanning: bool = True) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float = PASS, spanning: bool = True, block: int = BLOCK) -> DataFrame:
     """Distinct candidate pairs (a, b, est), a < b, of classes (cls, n, sig, label) with different labels."""
-    forest = map_batches(classes.select("cls", "n", "sig", "label"), _trees, "row binary")
-    n = parts_for(classes, TREES * classes.count())
-    ordered = forest.repartitionByRange(n, "row").sortWithinPartitions("row")
-    found = map_batches(ordered, _neighbours(window, threshold, spanning), "a long, b long, est double")
+    total = classes.count()
+    large = []
+    if total > block:
+        counted = map_batches(classes.select("sig"), _count_regions, "region long, n long").groupBy("region").agg(F.sum("n").alias("n"))
+        large = sorted((r["region"], -(-r["n"] // block)) for r in counted.where(F.col("n") > block).collect())  # at most TREES rows for each block of classes
+    split = _trees(np.array([r for r, _ in large], np.uint64), np.array([n for _, n in large], np.int64))
+    forest = map_batches(classes.select("cls", "n", "sig", "label"), split, "key binary, row binary")
+    n = parts_for(classes, TREES * total)
+    ordered = forest.repartition(n, "key").select("row").sortWithinPartitions("row")
+    found = map_batches(ordered, _neighbours(threshold, spanning), "a long, b long, est double")
     return found.where("a < b").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from support import SF, same
 
-from rootflow.llm import fingerprints, line_dedup, near_dedup
+from pyspark.sql import functions as F
+
+from rootflow.llm import common, fingerprints, line_dedup, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +73,34 @@ def test_near_groups_of_dense_and_chained_copies(spark):
     assert got == groups(rows, 2)
 
 
+def template_rows(n, seed=11):
+    """Documents of one template, most not linked (0.77), every second one with a partner (0.825) elsewhere in the table."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(330)]
+    rows = []
+    for g in range(n // 2):
+        own = [f"o{g}x{i}" for i in range(13)]
+        rows += [" ".join(template + own + [f"p{g}s{side}x{i}" for i in range(36)]) for side in range(2)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_groups_of_one_template(spark):
+    rows = template_rows(400)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(df, 2).collect())
+    want = groups(rows, 2)
+    assert len({c for *_, c in want}) == 200 and got == want
+
+
+def test_every_pair_of_a_region_meets_once_in_blocks(spark):
+    df = spark.createDataFrame(template_rows(120), "doc_id long, text string")
+    classes = common.written(near_dedup.signatures(df, 2).select("cls", F.col("n_shingles").alias("n"), "sig", F.col("cls").alias("label")), "classes")
+    whole = {(r.a, r.b) for r in near_dedup.candidates(classes, spanning=False).collect()}
+    assert {(r.a, r.b) for r in near_dedup.candidates(classes, spanning=False, block=16).collect()} == whole
+    assert len(whole) == 120 * 119 // 2
+
+
 def test_near_query_matches_sql(spark, duck):
     same(near_dedup.op3_near_dedup(spark, SF), duck, near_dedup.OP3_SQL)
 
