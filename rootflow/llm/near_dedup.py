@@ -1,7 +1,7 @@
 """MinHash near-duplicate groups by an LSH forest, confirmed on full shingle sets.
 
-Signatures. A document's distinct k-word shingles (hashed to 64 bits) give ``HASHES`` minimum hashes, of which
-16 bits each are kept. Documents with equal shingle sets are one class from here on, named by 64 bits of a hash
+Signatures. A document's distinct k-word shingles (hashed to 64 bits) give ``HASHES`` minimum hashes of 64 bits, of
+which 16 mixed bits each are kept: a minimum's high bits run to zero as sets grow, mixed ones don't. Documents with equal shingle sets are one class from here on, named by 64 bits of a hash
 of the set; an aggregation finds the classes, so thousands of exact copies weigh as one.
 
 Forest. Each of ``TREES`` trees puts classes that share its own ``MIN_PREFIX`` minimum hashes into one region. A
@@ -58,13 +58,13 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The minimum hashes (32 bits each) of a set of 64-bit hashes."""
+    """16 mixed bits of each minimum hash (64 bits) of a set of 64-bit hashes."""
     a, b = _coefficients()
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    least = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(0, len(hashes), 2048):
         h = hashes[i : i + 2048, None] * a[None, :] + b[None, :]
-        np.minimum(least, (h >> np.uint64(32)).astype(np.uint32).min(axis=0), out=least)
-    return least
+        np.minimum(least, h.min(axis=0), out=least)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for h in shingle_sets(b.column(1), k):
                 n.append(len(h))
                 classes.append(class_of(h) if len(h) else None)
-                sigs.append((signature(h) >> np.uint32(16)).astype(">u2").tobytes() if len(h) else None)
+                sigs.append(signature(h).astype(">u2").tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), to_binary("text").alias("text")), run, "doc_id long, n_shingles long, cls long, sig binary")

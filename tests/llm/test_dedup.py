@@ -101,6 +101,16 @@ def test_every_pair_of_a_region_meets_once_in_blocks(spark):
     assert len(whole) == 120 * 119 // 2
 
 
+def test_long_texts_share_hashes_only_with_their_copies(spark):
+    n, many = 200_000, 12
+    texts = [[f"{g}x{i}" for i in range(n)] for g in range(many)]
+    rows = [(g, " ".join(w)) for g, w in enumerate(texts)] + [(many + g, " ".join(w[: n - n // 10])) for g, w in enumerate(texts)]
+    sigs = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    classes = common.written(sigs.select("doc_id", "cls", F.col("n_shingles").alias("n"), "sig", F.col("cls").alias("label")), "classes")
+    of = {r.cls: r.doc_id for r in classes.collect()}
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in near_dedup.candidates(classes, spanning=False).collect()} == {(g, many + g) for g in range(many)}
+
+
 def test_near_query_matches_sql(spark, duck):
     same(near_dedup.op3_near_dedup(spark, SF), duck, near_dedup.OP3_SQL)
 
