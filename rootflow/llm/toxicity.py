@@ -16,8 +16,9 @@ doesn't matter, so one such word in a long text isn't drowned. Margins become sc
 of positives at a margin, with the prior, made monotone (``calibrate``).
 
 Document shares come from counts over all learning rows (``word_counts``). The fit uses a bounded sample:
-``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows by a hash of doc_id. Scoring is one pass without a
-shuffle; the weights are a bounded array.
+``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows by a hash of doc_id, as sparse rows. Every word that
+counts is a feature; one that no row of the sample holds gets the mean weight of those that were fitted. Scoring is
+one pass without a shuffle; the weights are a bounded array.
 
 Defined results: null and empty texts score as a text without known words; without any positive every text
 scores 0; rows that repeat a doc_id are scored each; a null doc_id never teaches; labels that
@@ -42,7 +43,6 @@ BUCKETS = 1 << 18
 STEMS = (5, 6, 7)
 MIN_POSITIVE = 2
 CHANCE = 0.02
-MAX_WORDS = 512
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
 STEPS = 2500
@@ -106,7 +106,8 @@ def _count_known(known: np.ndarray):
                 k = place[at]
                 total[k[k >= 0]] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], known]), pa.int32()), pa.array(np.concatenate([[n], total]))], ["bucket", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], known[at]]), pa.int32()), pa.array(np.concatenate([[n], total[at]]))], ["bucket", "n"])
 
     return run
 
@@ -137,19 +138,53 @@ class Model:
         return out
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier, from dense feature rows; Adam on the non-negative risk."""
+@dataclass
+class Sparse:
+    """Rows of features: row i has the values x[ends[i]:ends[i + 1]] in the columns at[ends[i]:ends[i + 1]]."""
+
+    ends: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        row, at = np.nonzero(dense)
+        return cls(np.searchsorted(row, np.arange(len(dense) + 1)), at, dense[row, at], dense.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        n = self.ends[rows + 1] - self.ends[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        k = np.arange(ends[-1]) + np.repeat(self.ends[rows] - ends[:-1], n)
+        return Sparse(ends, self.at[k], self.x[k], self.width)
+
+    def margins(self, w: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.own(), self.x * w[self.at], minlength=len(self)) + bias
+
+    def own(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+    def weighted(self, s: np.ndarray) -> np.ndarray:
+        """The sum of the rows times s; the bias is the last column."""
+        return np.append(np.bincount(self.at, self.x * s[self.own()], minlength=self.width), s.sum())
+
+
+def nn_pu(positive: np.ndarray | Sparse, unlabelled: np.ndarray | Sparse, prior: float, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear classifier, from feature rows; Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
-    w = np.zeros(positive.shape[1] + 1)
+    p, u = (f if isinstance(f, Sparse) else Sparse.of(f) for f in (positive, unlabelled))
+    w = np.zeros(p.width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    p, u = np.hstack([positive, np.ones((len(positive), 1))]), np.hstack([unlabelled, np.ones((len(unlabelled), 1))])
     for t in range(1, steps + 1):
-        a, b = p[rng.integers(len(p), size=min(batch, len(p)))], u[rng.integers(len(u), size=min(4 * batch, len(u)))]
-        za, zb = a @ w, b @ w
+        a, b = p.take(rng.integers(len(p), size=min(batch, len(p)))), u.take(rng.integers(len(u), size=min(4 * batch, len(u))))
+        za, zb = a.margins(w, w[-1]), b.margins(w, w[-1])
         sa, sb = 1 / (1 + np.exp(-np.clip(za, -30, 30))), 1 / (1 + np.exp(-np.clip(zb, -30, 30)))
         negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        g_negative = b.T @ sb / len(b) - prior * (a.T @ sa) / len(a)
-        g = prior * (a.T @ (sa - 1)) / len(a) + g_negative if negative >= 0 else -g_negative
+        g_negative = b.weighted(sb) / len(b) - prior * a.weighted(sa) / len(a)
+        g = prior * a.weighted(sa - 1) / len(a) + g_negative if negative >= 0 else -g_negative
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -191,10 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
     n_positive = int(counted.loc[counted["bucket"] < 0, "positive"].sum())
     if not n_positive:
         return None
-    least = max(MIN_POSITIVE, int(0.005 * n_positive))
-    counted = counted[(counted["bucket"] >= 0) & (counted["positive"] >= least)].sort_values("bucket")
+    counted = counted[(counted["bucket"] >= 0) & (counted["positive"] >= MIN_POSITIVE)].sort_values("bucket")
     known = counted["bucket"].to_numpy().astype(np.int64)
-    share = {int(r.bucket): int(r.n) for r in map_batches(rows.select("text"), _count_known(known), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    totals = map_batches(rows.select("text"), _count_known(known), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
+    share = dict(zip(totals["bucket"].tolist(), totals["n"].tolist(), strict=True))
     n_all = share.pop(-1, 0)
     in_all = np.array([share.get(int(k), 0) for k in known], float)
     in_positive = counted["positive"].to_numpy().astype(float)
@@ -210,30 +245,29 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
     known, ratio, surprise, odds = known[sure], ratio[sure], surprise[sure], odds[sure]
     if not len(known):
         return None
-    # Few, strong words are enough: the fit is dense.
-    best = np.sort(np.argsort(-surprise, kind="stable")[:MAX_WORDS])
-    known, ratio = known[best], ratio[best]
 
     rank = F.xxhash64(F.lit(seed), "doc_id")
     sampled = lambda f, most: map_batches(f.select(rank.alias("rank"), "text"), _rows(known), "rank long, words binary").orderBy("rank", "words").limit(most).collect()
     chosen = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * MAX_UNLABELLED / max(1, n_all)) * (1 << 30)))
     chosen_p = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * MAX_POSITIVE / max(1, n_positive)) * (1 << 30)))
 
-    def dense(found: list) -> np.ndarray:
-        x = np.zeros((len(found), len(known)))
-        for i, r in enumerate(found):
-            at = np.frombuffer(r["words"], "<i4")
-            x[i, at] = ratio[at]
-        return x
+    def sparse(found: list) -> Sparse:
+        at = [np.frombuffer(r["words"], "<i4") for r in found]
+        columns = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
+        return Sparse(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64), columns, ratio[columns], len(known))
 
-    p, u = dense(sampled(positives.where(chosen_p), MAX_POSITIVE)), dense(sampled(rows.where(chosen), MAX_UNLABELLED))
+    p, u = sparse(sampled(positives.where(chosen_p), MAX_POSITIVE)), sparse(sampled(rows.where(chosen), MAX_UNLABELLED))
     if not len(p) or not len(u):
         return None
     # Labels may favour toxic texts. A word that only toxic texts hold is as frequent among all texts as among the
     # positives times the prior, so the surest words bound the prior from above.
     prior = min(prior, max(0.002, float(np.median(odds[np.argsort(-surprise, kind="stable")[:64]]))))
     w, bias = nn_pu(p, u, prior, seed=seed)
-    margins, scores = calibrate(p @ w + bias, u @ w + bias, prior)
+    seen = np.zeros(len(known), bool)
+    seen[p.at] = seen[u.at] = True
+    if seen.any():
+        w[~seen] = w[seen].mean()
+    margins, scores = calibrate(p.margins(w, bias), u.margins(w, bias), prior)
     return Model(known, (w * ratio).astype(np.float32), bias, margins, scores)
 
 

@@ -82,6 +82,18 @@ def test_toxicity_held_out(spark):
     assert hit / sum(t for _, t in held) >= 0.6 and hit / max(1, sum(p for p, _ in held)) >= 0.85
 
 
+def test_rare_sure_words_count_however_many_positives(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"plain{i}" for i in range(300)]
+    sure = [f"{i:05d}z" for i in range(230)]  # each in nine positives of 2,070 and in no other text
+    rows = [(i, " ".join(rng.choice(plain, 8)) + (f" {sure[i // 9]}" if i < 2070 else "")) for i in range(22_070)]
+    labels = spark.createDataFrame([(i, int(i < 2070)) for i in range(22_070)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", language.held_out(3, 1))
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.train(df, labels)).collect()}
+    assert np.mean([got[i] >= toxicity.THRESHOLD for i in range(2070)]) > 0.95
+    assert np.mean([got[i] >= toxicity.THRESHOLD for i in range(2070, 22_070)]) < 0.01
+
+
 def test_toxicity_of_awkward_documents(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (9, 0), (9, 1), (None, 1), (10, None)], "doc_id long, toxic int")
     rows = docs.withColumn("held_out", language.held_out(3, 1))
