@@ -8,13 +8,15 @@ and elements whose class, id or role names a menu, a notice, an advert, a sideba
 Differencing. Within each host, pages are sorted by URL path, and each is paired with the neighbour whose path
 has the longest common prefix with its own. The two pages' block lists are aligned by longest common
 subsequence, and blocks they share are template, not article: both pages lose them. A pair that shares most of
-its text is two copies of one article, not two articles in one template; then the next neighbour is
-tried, and with none left nothing is deleted. What lies in an element that marks an article is template only
+the text left without the blocks that all near pages have (two different ones at least) is two copies of one
+article, not two articles in one template; then the next neighbour is tried, and with none left nothing is deleted.
+So a template may be longer than its articles. With one other near page, or where nothing is left, all text
+is compared; three edited versions of one article with no other page near can't be told from a template. What lies in an element that marks an article is template only
 if all near pages of the host (three at least) have it too: two articles may quote the same line.
 
 Distribution. Pages are range-partitioned by (host, path, page_id) and sorted; a task streams through them with
-a window of ``2 * REACH + 1`` pages, so a host with a third of all pages is spread over tasks like any other.
-A page at the border of a task has neighbours on one side only.
+a window of ``4 * REACH + 1`` pages, of which the nearest ``2 * REACH`` of the host are near pages, so a host with a third of all pages is spread over tasks like any other.
+A page at the border of a task or host has neighbours on one side only, as many if there are.
 
 Defined results: null html is empty text; a null url is a host and path of its own (empty); rows that repeat a
 page_id or url are pages each; a page without neighbours in its host is not differenced; an empty table gives
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from rootflow.llm.common import map_batches, parts_for
 
 REACH = 2
-#: Two pages that share at least this part of the smaller one's characters are copies.
+#: Two pages that share at least this part of the smaller one's characters, without what all near pages have, are copies.
 COPIES = 0.5
 #: Near pages that have to agree before a block of a marked article is template.
 SURE = 3
@@ -181,10 +183,17 @@ def differenced(page: list[str], near: list[list[str]], marked: bool = False, co
     """The page's blocks less those it shares with the first of its neighbours that isn't a copy of it.
 
     In a marked article a block has to be shared with all other near pages too, ``SURE`` at least."""
-    size = sum(map(len, page))
+    # What all near pages have that aren't the same as this page; pages that are the same weigh as one.
+    different = {tuple(x) for x in near if x and x != page}
+    common = set(page).intersection(*different) if len(different) > 1 else set()
+    if all(x in common for x in page):
+        common = set()
+    size = sum(len(x) for x in page if x not in common)
     for k, other in enumerate(near):
         gone = shared(page, other)
-        if sum(len(page[i]) for i in gone) >= copies * min(size, sum(map(len, other))):
+        # A page of nothing but template is no copy.
+        left = sum(len(x) for x in other if x not in common) or size
+        if sum(len(page[i]) for i in gone if page[i] not in common) >= copies * min(size, left):
             continue  # a copy, or nothing to compare with
         if marked and gone:
             rest = [set(x) for i, x in enumerate(near) if i != k]
@@ -202,7 +211,8 @@ def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES) ->
 
         def result(k: int) -> None:
             page_id, url, host, path, page, marked = window[k]
-            near = [(-len(os.path.commonprefix([path, o[3]])), abs(i - k), i) for i, o in enumerate(window) if i != k and o[2] == host and abs(i - k) <= reach]
+            places = sorted((abs(i - k), i) for i, o in enumerate(window) if i != k and o[2] == host and abs(i - k) <= 2 * reach)[: 2 * reach]
+            near = [(-len(os.path.commonprefix([path, window[i][3]])), d, i) for d, i in places]
             text = "\n".join(differenced(page, [window[i][4] for *_, i in sorted(near)], marked, copies))
             out.append((page_id, url, text, len(text)))
 
@@ -215,10 +225,10 @@ def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES) ->
         for b in batches:
             for page_id, url, host, path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 window.append((page_id, url, host, path, *blocks(source or "")))
-                if len(window) - done > reach:
+                if len(window) - done > 2 * reach:
                     result(done)
                     done += 1
-                if done > reach:
+                if done > 2 * reach:
                     window.popleft()
                     done -= 1
             if out:

@@ -190,6 +190,17 @@ def test_pages_without_marks_lose_what_neighbours_share(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_short_articles_in_a_long_template(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "parts_for", lambda *_: 1)  # no border of a task among these few pages
+    menu = "".join(f"<div>Entry {i} of the long menu that all pages of this site have</div>" for i in range(20))
+    rows = [(i, f"http://long.example/a/{i}", f"{menu}<p>Short text {i * 7}.</p><div>A notice</div>") for i in range(6)]
+    # Two copies of one article among others of the template keep their article.
+    rows += [(10 + i, f"http://two.example/a/{i}", f"{menu}<p>Text {max(i, 1)} of its own.</p><p>More {max(i, 1)}.</p>") for i in range(5)]
+    by = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [by[i] for i in range(6)] == [f"Short text {i * 7}." for i in range(6)]
+    assert [by[10 + i] for i in range(5)] == [f"Text {max(i, 1)} of its own.\nMore {max(i, 1)}." for i in range(5)]
+
+
 # ---- mixing ---------------------------------------------------------------------------------------
 
 
