@@ -7,7 +7,8 @@ are counted over every learning row, not over a sample.
 
 Weights are learned by follow-the-regularised-leader (per-coordinate learning rates) with elastic-net penalties:
 the L1 part keeps most weights exactly zero, the L2 part bounds the rest. The fit uses a bounded sample of
-labelled rows (``SAMPLE_PER_LANGUAGE`` rows expected for each language, chosen by a hash of doc_id); a quarter of
+labelled rows (``SAMPLE_PER_LANGUAGE`` rows expected for each language, chosen by a hash of doc_id; where all would
+be more than ``MAX_SAMPLE``, the same number of each language that has as many); a quarter of
 the sample is held back from the weights, and one temperature is fitted on it so that scores are
 probabilities.
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootflow.llm.common import documents, map_batches, slices
@@ -214,11 +215,14 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int =
     df[seen["bucket"].to_numpy()] = seen["df"].to_numpy()
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
-    # The sample: a share of each language by a hash of doc_id, at most MAX_SAMPLE rows.
+    # The sample: a share of each language by a hash of doc_id, at most MAX_SAMPLE rows, language by language in turn.
     rank = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / by_language[lang]))]), F.col("lang"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") < share * float(1 << 40)).select("rank", "lang", "text")
-    sample = map_batches(chosen, _features, "rank long, lang string, ids binary, counts binary").orderBy("rank", "lang", "ids").limit(MAX_SAMPLE).collect()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "ids"))
+    dealt = map_batches(chosen, _features, "rank long, lang string, ids binary, counts binary").withColumn("turn", turn)
+    sample = dealt.orderBy("turn", "rank", "lang", "ids").limit(MAX_SAMPLE).collect()
+    sample.sort(key=lambda r: (r["rank"], r["lang"], bytes(r["ids"])))
     data, number = [], {lang: i for i, lang in enumerate(languages)}
     for r in sample:
         ids, c = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")

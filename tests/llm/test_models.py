@@ -59,6 +59,18 @@ def test_ftrl_separates_and_is_sparse():
     assert 0.4 < language.temperature(np.array([[2.0, 0.0]] * 10), np.array([0] * 9 + [1])) < 20
 
 
+def test_many_languages_leave_a_rare_one_its_share(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_SAMPLE", 220)
+    fitted = []
+    fit = language.ftrl
+    monkeypatch.setattr(language, "ftrl", lambda rows, *a: fitted.extend(y for *_, y in rows) or fit(rows, *a))
+    rows = [(i, f"text number {i}", f"l{i % 10}") for i in range(4000)] + [(5000 + i, f"rare text {i}", "rare") for i in range(30)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=60)
+    counts = np.bincount(fitted, minlength=11)
+    # A quarter of the 20 rows of each language is held back.
+    assert model.languages[-1] == "rare" and counts.sum() == 165 and counts.min() >= 8
+
+
 # ---- toxicity -------------------------------------------------------------------------------------
 
 
