@@ -1,7 +1,7 @@
 """What the operators share: written intermediate tables, bounded Arrow batches and vectorised word hashing.
 
 Intermediate results that are read more than once are written as Parquet below the folder in
-``spark.checkpoint.dir`` (a folder of this machine only where that setting is missing, as in tests), so
+``spark.checkpoint.dir`` (a folder of this machine only where that setting is missing and the master is local, as in tests), so
 a lost executor costs a re-read and never a wrong answer.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: Bytes of text that are hashed at a time; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of input files for one partition of a shuffle, and the most partitions.
+PART_BYTES = 256 << 20
+MAX_PARTS = 200_000
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: A word in Java's and DuckDB's regex syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="rootflow-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
@@ -83,9 +89,30 @@ def parts_for(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 200_000))
 
 
+def parts_by_size(df: DataFrame) -> int:
+    """Partitions for shuffling a frame's rows: the session's number, more if a partition of its input files would
+    pass ``PART_BYTES``. Spark's own estimate of the frame's size is used; adaptive execution can't split a number
+    that is given to ``repartition``, so it has to follow the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(MAX_PARTS, -(-size // PART_BYTES))) if size < 1 << 60 else least  # beyond: unknown
+
+
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def to_binary(c: str) -> F.Column:
@@ -106,13 +133,17 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers below n of the base and its inverse; only short tables are kept between calls."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    found = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(1 << (n - 1).bit_length() if n <= 2 * SLICE_BYTES else n, base, np.uint64)
+        x[0] = 1
+        found.append(np.cumprod(x, dtype=np.uint64, out=x))
+    if n <= 2 * SLICE_BYTES:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import documents, map_batches, mix, parts_for, shingle_sets, to_binary, written
+from rootflow.llm.common import documents, map_batches, mix, parts_by_size, shingle_sets, to_binary, written
 
 BINS = 512
 BITS = 4
@@ -173,7 +173,7 @@ def edit_report(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = WO
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), to_binary("text").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(parts_for(docs, 0), *order).sortWithinPartitions(*order, "text")
+    ranged = rows.repartitionByRange(parts_by_size(docs), *order).sortWithinPartitions(*order, "text")
     out = written(map_batches(ranged, run, f"{_SCHEMA}, which string, part int, text string"), "fingerprints")
     # Two rows per partition: the last of each meets the first of the next that has any; after the last comes the first.
     firsts = out.where("which = 'first'").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import map_batches, parts_for
+from rootflow.llm.common import map_batches, parts_by_size
 
 REACH = 2
 #: Two pages that share at least this part of the smaller one's characters, without what all near pages have, are copies.
@@ -245,7 +245,7 @@ def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES) ->
     path = F.concat(F.lit("/"), F.regexp_extract(rest, r"^[^/]*/(.*)$", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     order = ["host", "path", "page_id"]
-    ordered = rows.repartitionByRange(parts_for(pages, 0), *order).sortWithinPartitions(*order, "url", F.xxhash64("html"))
+    ordered = rows.repartitionByRange(parts_by_size(pages), *order).sortWithinPartitions(*order, "url", F.xxhash64("html"))
     return map_batches(ordered, run, "page_id long, url string, text string, n_chars long")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootflow.llm import tokens
-from rootflow.llm.common import buffers, documents, map_batches, new_path, parts_for, to_binary
+from rootflow.llm.common import buffers, documents, map_batches, new_path, parts_by_size, to_binary
 
 MAGIC = b"RFT1"
 BLOCK_IDS = 512
@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), to_binary("text").alias("text"))
-    n = parts_for(docs, 0)
+    n = parts_by_size(docs)
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     map_batches(ordered, write, _SEGMENTS).write.parquet(path)
 

@@ -2,9 +2,10 @@
 
 The tokenizer that is used here drops white space and never merges across it, nor across the border of a
 letter and a full stop or comma, so a text's ids are the ids of the pieces between those borders in order.
-Pieces repeat, so each worker keeps a bounded memory of piece -> ids; a piece that isn't in it is encoded by
-the tokenizer itself. ``chunk_independent`` says whether a
-tokenizer file has that property; one without it encodes whole texts.
+Pieces repeat, so each worker keeps a memory of piece -> ids, bounded in bytes; a piece that isn't in it is encoded
+by the tokenizer itself, and a long one is never kept. ``_by_chunk`` says whether a tokenizer file has that
+property; one without it encodes whole texts. A run of letters that the tokenizer's own normalisation breaks up
+(a letter that becomes letter and mark) is told by its ids, and goes to the tokenizer together with what follows it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,14 @@ from rootflow.llm.common import slices, word_hashes, words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Chunks that a worker remembers at a time (some 250 bytes each).
-REMEMBERED = 800_000
+#: Bytes of pieces that a worker remembers at a time, with what Python needs to hold them.
+REMEMBERED = 64 << 20
+#: What Python needs for an entry besides its bytes.
+_ENTRY = 180
+#: Longer pieces are not remembered.
+LONG_PIECE = 256
+#: Bytes of text that are cut into pieces at a time.
+SLICE = 1 << 20
 #: A piece is cut between an ASCII letter (1) and one of these stops (2): the tokenizer always cuts there.
 _STOPS = ".,;:!?*%$#&"
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?*%$#&]+)")
@@ -56,6 +63,7 @@ class Encoder:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _by_chunk(spec: dict) -> bool:
@@ -70,10 +78,11 @@ class Encoder:
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes pieces and remembers them. Runs of letters are one piece of the tokenizer each, so many go to a
-        call; where one ends is told by its last id."""
-        known, letters, tails, rest = self.known, set(), [], []
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces. Runs of letters are one piece of the tokenizer each, so many go to a call; where one
+        ends is told by its last id."""
+        found: dict[bytes, bytes] = {}
+        letters, tails, rest = set(), [], []
         for c in pieces:
             s = c.decode()
             if s.isalpha():
@@ -82,7 +91,7 @@ class Encoder:
                 tails.append((c, m[1], m[2]))
             else:
                 rest.append(c)
-        letters.update(x for _, x, _ in tails if x.encode() not in known)
+        letters.update(x for _, x, _ in tails if x.encode() not in self.known)
         todo = list(letters)
         for i in range(0, len(todo), 512):
             some = todo[i : i + 512]
@@ -91,15 +100,29 @@ class Encoder:
             if len(cuts) == len(some) and len(ids) == cuts[-1]:
                 raw, w = ids.tobytes(), self.dtype.itemsize
                 cuts = (cuts * w).tolist()
-                known.update(zip(map(str.encode, some), map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+                found.update(zip(map(str.encode, some), map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
             else:
-                known.update((x.encode(), self._one(x)) for x in some)
+                found.update((x.encode(), self._one(x)) for x in some)
         for c, core, tail in tails:
-            if tail.encode() not in known:
-                known[tail.encode()] = self._one(tail)
-            known[c] = known[core.encode()] + known[tail.encode()]
+            ids = found[core.encode()] if core.encode() in found else self.known[core.encode()]
+            if self.ends[np.frombuffer(ids, self.dtype)].sum() == 1:
+                if tail.encode() not in found:
+                    found[tail.encode()] = self._one(tail)
+                found[c] = ids + found[tail.encode()]
+            else:  # normalisation broke the letters up, so a mark may belong to what follows
+                found[c] = self._one(c.decode())
         for c in rest:
-            known[c] = self._one(c.decode())
+            found[c] = self._one(c.decode())
+        return found
+
+    def _remember(self, found: dict[bytes, bytes]) -> None:
+        for c, ids in found.items():
+            if len(c) <= LONG_PIECE and c not in self.known:
+                size = len(c) + len(ids) + _ENTRY
+                if self.held + size > self.remembered:
+                    self.known, self.held = {}, 0
+                self.known[c] = ids
+                self.held += size
 
     def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """The ids of each text as an unsigned array; no end id."""
@@ -107,7 +130,7 @@ class Encoder:
             return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         out: list[np.ndarray] = []
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        for a, b in slices(offsets, 4 << 20):
+        for a, b in slices(offsets, SLICE):
             out += self._some(b"".join(texts[a:b]), offsets[a : b + 1] - offsets[a])
         return out
 
@@ -123,13 +146,10 @@ class Encoder:
         own = np.searchsorted(starts, offsets)
         _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         chunks = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        new = [c for c in chunks if c not in self.known]
-        if new:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-                new = chunks
-            self._learn(new)
-        ids = [self.known[c] for c in chunks]
+        known = self.known
+        found = self._learn([c for c in chunks if c not in known])
+        ids = [found[c] if c in found else known[c] for c in chunks]
+        self._remember(found)
         flat, width = np.frombuffer(b"".join(ids), self.dtype), self.dtype.itemsize
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         at = np.cumsum(lengths) - lengths

@@ -18,7 +18,7 @@ def plain(text):
     return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", "A  b", "I'll don't 's", "İstanbul K", "éÅ é H̱", "a b c \x1c d\x85e", "<|endoftext|> x<|startoftext|>y.<|endoftext|>", "你好 ñandú ß ẞ", "̈a ...,!!! a1b2 ___ x.y.z it's, 'RE.'s", "ΑΣ ΟΔΟΣ.", "\x00a 😀 ﬁ", "Ⅷ ʰ ªº", "d.'D,'s"]
+ODD = ["", "A  b", "I'll don't 's", "İstanbul K", "éÅ é H̱", "a b c \x1c d\x85e", "<|endoftext|> x<|startoftext|>y.<|endoftext|>", "你好 ñandú ß ẞ", "̈a ...,!!! a1b2 ___ x.y.z it's, 'RE.'s", "ΑΣ ΟΔΟΣ.", "\x00a 😀 ﬁ", "Ⅷ ʰ ªº", "d.'D,'s", "İ. k İ,İ. \u0958. \u095f, x\u0958!", "\u2003 a\u2003.", "x" * 700 + ". " + "x" * 700]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -26,6 +26,17 @@ def test_odd_texts(text):
     assert ENCODER.encode([text.encode()])[0].tolist() == plain(text)
 
 
+LETTERS = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+
+
+@pytest.mark.parametrize("stop", ".,;:!?*%$#&")
+def test_every_letter_before_a_stop(stop):
+    some = [c for c in LETTERS if stop == "." or c < "\u3000"]
+    for i in range(0, len(some), 20_000):
+        text = " ".join(f"{c}{stop} a{c}{stop}b" if c < "\u3000" else f"{c}{stop}" for c in some[i : i + 20_000])
+        assert ENCODER.encode([text.encode()])[0].tolist() == plain(text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aAbEé́.'s, \n\t1|<>*%ßİñ世\x1c\xa0"), max_size=40), max_size=6))
 def test_any_texts(texts):
