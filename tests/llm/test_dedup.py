@@ -93,22 +93,77 @@ def test_near_groups_of_one_template(spark):
     assert len({c for *_, c in want}) == 200 and got == want
 
 
-def test_every_pair_of_a_region_meets_once_in_blocks(spark):
-    df = spark.createDataFrame(template_rows(120), "doc_id long, text string")
-    classes = common.written(near_dedup.signatures(df, 2).select("cls", F.col("n_shingles").alias("n"), "sig", F.col("cls").alias("label")), "classes")
-    whole = {(r.a, r.b) for r in near_dedup.candidates(classes, spanning=False).collect()}
-    assert {(r.a, r.b) for r in near_dedup.candidates(classes, spanning=False, block=16).collect()} == whole
-    assert len(whole) == 120 * 119 // 2
+def classes_of(df):
+    sigs = near_dedup.signatures(df, 2)
+    return common.written(sigs.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sig", F.struct("doc_id", "text_key").alias("first")), "classes")
+
+
+def joined(pairs, n):
+    """The groups that pairs make of 0 ... n - 1."""
+    up = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    return up
+
+
+def test_blocks_connect_what_a_whole_region_connects(spark):
+    classes = classes_of(spark.createDataFrame(template_rows(120), "doc_id long, text string"))
+    whole = {(r.a, r.b) for r in near_dedup.candidates(classes).collect()}
+    assert joined(whole, 120) == [0] * 120 and len(whole) <= near_dedup.TREES * 119
+    assert joined({(r.a, r.b) for r in near_dedup.candidates(classes, block=16).collect()}, 120) == [0] * 120
+
+
+def test_links_block_by_block(spark):
+    rows = template_rows(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = classes_of(df)
+    grouped = classes.select(F.col("cls").alias("node"), F.lit(0).cast("long").alias("label"))
+    want = groups(rows, 2)
+    for block in (1 << 20, 3000):
+        got = {r.node: r.label for r in near_dedup.links(df, classes, grouped, 2, 80, block).collect()}
+        same_group = defaultdict(set)
+        for i in range(120):
+            same_group[got.get(i, i)].add(i)
+        assert sorted(min(x) for x in same_group.values() for _ in x) == sorted(c for *_, c in want)
+
+
+def test_linked_sets():
+    rng = np.random.default_rng(4)
+    base = rng.choice(10**6, 100, replace=False).astype(np.uint64)
+    sets = []
+    for i in range(40):
+        own = base.copy() if i % 3 else rng.choice(10**6, 100).astype(np.uint64)
+        own[: i % 13] = rng.integers(10**7, 10**8, i % 13)
+        sets.append(np.unique(own))
+    near = lambda x, y: 100 * (c := len(np.intersect1d(x, y))) >= 80 * (len(x) + len(y) - c)
+    pairs = [(i, j) for i in range(40) for j in range(i) if near(sets[i], sets[j])]
+    assert near_dedup.linked(sets, 80).tolist() == joined(pairs, 40)
+    side = np.arange(40) % 2 == 1
+    assert near_dedup.linked(sets, 80, side).tolist() == joined([(i, j) for i, j in pairs if side[i] != side[j]], 40)
 
 
 def test_long_texts_share_hashes_only_with_their_copies(spark):
-    n, many = 200_000, 12
+    n, many = 100_000, 12
     texts = [[f"{g}x{i}" for i in range(n)] for g in range(many)]
     rows = [(g, " ".join(w)) for g, w in enumerate(texts)] + [(many + g, " ".join(w[: n - n // 10])) for g, w in enumerate(texts)]
-    sigs = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 2)
-    classes = common.written(sigs.select("doc_id", "cls", F.col("n_shingles").alias("n"), "sig", F.col("cls").alias("label")), "classes")
-    of = {r.cls: r.doc_id for r in classes.collect()}
-    assert {tuple(sorted((of[r.a], of[r.b]))) for r in near_dedup.candidates(classes, spanning=False).collect()} == {(g, many + g) for g in range(many)}
+    classes = classes_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(sorted((r.a, r.b))) for r in near_dedup.candidates(classes).collect()} == {(g, many + g) for g in range(many)}
+
+
+def test_one_of_each_group_keeps_what_resembles_nothing(spark, docs, no_docs):
+    kept = near_dedup.one_of_each_group(docs, 5)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    first = {}
+    for (d, t), (_, n, c) in zip(rows, groups(rows, 5), strict=True):
+        if n:
+            first.setdefault(c, []).append((d, t))
+    want = [(d, t) for (d, t), (_, n, _) in zip(rows, groups(rows, 5), strict=True) if not n]
+    want += [min(v, key=lambda r: (r[0] is None, r[0])) for v in first.values()]
+    assert got == sorted(want, key=repr) and (15, "another text of the same id") in got and (None, "no id here") in got
+    assert near_dedup.one_of_each_group(no_docs).count() == 0
 
 
 def test_near_query_matches_sql(spark, duck):
