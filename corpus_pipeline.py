@@ -2,7 +2,8 @@
 
 1. language     documents without letters, or whose language the model can't tell, go (operator 2)
 2. lines        repeated lines go, but for those in the last document that holds them (operator 9)
-3. near_copies  one document of each group of near duplicates stays: five words, 0.8 (operator 3)
+3. near_copies  one row of each group of near duplicates stays: five words, 0.8 (operator 3); rows are told
+                apart by doc_id and text, and what resembles nothing stays whatever its doc_id
 4. mixture      sources come to their target weights: documents go or are repeated (operator 8)
 5. packing      what is left becomes sequences of at most 4096 tokens (operator 10)
 
@@ -35,8 +36,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_groups(docs, k=5).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    return near_dedup.one_of_each_group(docs, k=5)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
