@@ -191,7 +191,7 @@ def test_components(spark):
 def brute_lines(rows, least=40, many=5):
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(list)
-    for d, t in rows:
+    for d, t in set(rows):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= least:
                 holders[k].append(d)
@@ -210,13 +210,35 @@ def test_lines_of_awkward_documents(docs):
 
     runs = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     lines = line_dedup.lines_of(F.col("text"))
-    got = runs.select("doc_id", F.size(lines), line_dedup.n_dropped(F.col("__keep_runs")), F.sha2(F.array_join(line_dedup.kept_lines(lines, F.col("__keep_runs")), "\n"), 256)).collect()
+    got = runs.select("doc_id", F.size(lines), line_dedup.n_dropped(F.col("keep_runs")), F.sha2(F.array_join(line_dedup.kept_lines(lines, F.col("keep_runs")), "\n"), 256)).collect()
     want = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and sum(w[2] for w in want) == 5
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.where("doc_id = 10").first().text == "b" and out.where("doc_id = 10").first().n_chars == 1
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_keys_over_borders_of_ranges(spark, monkeypatch, ranges):
+    rng = random.Random(3)
+    hot = ["Q" * 45, "R" * 50 + " x"]
+    rows = [(d, "\n".join(rng.sample([*hot, *hot, f"a line that only a few of them have, number {rng.randrange(12):04d}", "short", "z" * 60 + str(d)], rng.randrange(1, 7)))) for d in range(60)]
+    rows += [(3, "Q" * 45), (None, hot[0] + "\n" + hot[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranged = common.written(line_dedup.line_ranges(df, ranges=ranges), "ranged")
+    monkeypatch.setattr(line_dedup, "line_ranges", lambda *_: ranged)
+    key = lambda x: lower(x.strip())
+    got = {(r.doc_id, r.row_key): r.keep_runs for r in line_dedup.keep_bitmaps(df).collect()}
+    docs = line_dedup.with_bitmaps(df, line_dedup.keep_bitmaps(df))
+    lines = line_dedup.lines_of(F.col("text"))
+    found = docs.select("doc_id", F.size(lines), line_dedup.n_dropped(F.col("keep_runs")), F.sha2(F.array_join(line_dedup.kept_lines(lines, F.col("keep_runs")), "\n"), 256)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(brute_lines(rows), key=repr) and got
+    spans = ranged.groupBy("h1", "h2").agg(F.countDistinct("range").alias("n")).agg(F.max("n")).first()[0]
+    assert spans > 1 or ranges == 1
+    if ranges > 1:  # the order decides: rows dealt to ranges at random lose the first occurrences
+        monkeypatch.setattr(line_dedup, "line_ranges", lambda *_: ranged.withColumn("range", F.pmod(F.xxhash64("row_key"), F.lit(7)).cast("int")))
+        assert {(r.doc_id, r.row_key): r.keep_runs for r in line_dedup.keep_bitmaps(df).collect()} != got
+
+
 def test_runs(spark):
     from pyspark.sql import functions as F
 
