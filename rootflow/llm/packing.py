@@ -3,7 +3,8 @@
 A document's ids (with its end id) are cut into pieces only where it is longer than a sequence. Full pieces
 are sequences by themselves; all others are items of a bin packing problem.
 
-Items are dealt by a hash into blocks of bounded size, each a packing problem that several islands work on.
+Items are dealt by a hash of (doc_id, piece, length, ids) into blocks of bounded size, each a packing problem. A block
+that best fit packs into as few bins as the sum of lengths needs at least is done; several islands work on the others.
 A chromosome is a list of bins. Crossover injects some of the best-filled whole bins of one parent into the
 other, removes the bins there that hold an injected item twice, and puts the displaced items back by best
 fit, largest first; mutation dissolves some badly filled bins and puts their items back likewise. Fitness is
@@ -12,10 +13,11 @@ moves on to the next island of its block. An island stops as soon as its elite h
 of lengths needs at least.
 
 Blocks leave some poorly filled bins. Those are dissolved and their items dealt again into fewer blocks, level
-by level, until one block is left, so that only the last bin of all has to be poorly filled.
+by level, until one block is left, so that only the last bin of all has to be poorly filled. Where a level leaves
+nearly all its items in poor bins (lengths that nothing fits), dealing them again is no use and the bins stay.
 
-No task sees more than a block. Random choices derive from the seed, block, island and epoch, and blocks from
-hashes of ids, so reruns and retried tasks agree.
+No task sees more than a block, and of that only lengths. Random choices derive from the seed, block, island and
+epoch, blocks and the order in them from hashes of ids, so reruns, retried tasks and other clusters agree.
 
 Defined results: null and empty texts are one piece, the end id; a null doc_id is a document; rows that
 repeat a doc_id are separate documents with pieces of their own (also where texts are equal); an empty table gives
@@ -28,16 +30,14 @@ import bisect
 import random
 import zlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootflow.llm import tokens
-from rootflow.llm.common import documents, map_batches, to_binary, written
+from rootflow.llm.common import documents, map_batches, parts_for, prepare, release, to_binary, written
 from rootflow.llm.token_file import encoded
 
 CAPACITY = 4096
@@ -48,6 +48,8 @@ GENERATIONS = 6
 POPULATION = 6
 #: A bin below this fill is dissolved and its items are packed again at the next level.
 POOR = 0.985
+#: A level that leaves more than this part of its items in poor bins is the last.
+STUCK = 0.9
 SEED = 10
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -179,59 +181,70 @@ def _bins(flat: list[int]) -> Bins:
 
 
 _ISLAND = "block long, island int, items array<long>, sizes array<int>, elite array<int>, done boolean"
+_TYPES = {"block": pa.int64(), "island": pa.int32(), "items": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "elite": pa.list_(pa.int32()), "done": pa.bool_()}
 
 
-def _start(capacity: int, seed: int, population: int, generations: int):
-    """A block's rows, replicated to each of its islands: the first epoch."""
+def _state(block: int, island: int, items: list[int], size: list[int], elite: Bins, least: int) -> pa.Table:
+    row = (block, island, items, size, _flat(elite, len(size)), len(elite) <= least)
+    release()
+    return pa.table({name: pa.array([x], t) for x, (name, t) in zip(row, _TYPES.items(), strict=True)})
 
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(key[0]), int(key[1])
-        rows = rows.sort_values(["length", "item"], ascending=[False, True])
-        size, rng = rows["length"].astype(int).tolist(), random.Random(f"{seed} {block} {island} 0")
-        least = -(-sum(size) // capacity)
-        first = first_fill(size, capacity, rng, 0.0)
-        if len(first) > least:
-            some = [first, *(first_fill(size, capacity, rng, 0.1 * (1 + island) * (k + 1) / population) for k in range(population - 1))]
-            first = evolve(size, capacity, some, generations, rng)[0]
-        return pd.DataFrame({"block": [block], "island": [island], "items": [rows["item"].tolist()], "sizes": [size], "elite": [_flat(first, len(size))], "done": [len(first) <= least]})
+
+def _first(capacity: int):
+    """A block's items (block, item, length, order, copy): best fit alone."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        length, order, copy = (rows[c].to_numpy() for c in ("length", "order", "copy"))
+        at = np.lexsort((copy, order, -length))
+        size = length[at].tolist()
+        return _state(rows["block"][0].as_py(), 0, rows["item"].to_numpy()[at].tolist(), size, first_fill(size, capacity, random.Random(0), 0.0), -(-sum(size) // capacity))
 
     return run
 
 
 def _epoch(capacity: int, seed: int, population: int, generations: int, epoch: int):
-    """An island with its own elite and its neighbour's."""
-
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(key[0]), int(key[1])
-        rows = rows.sort_values("native", ascending=False)
-        row = rows.iloc[0]
-        size, rng = [int(x) for x in row["sizes"]], random.Random(f"{seed} {block} {island} {epoch}")
-        least = -(-sum(size) // capacity)
-        elites = [_bins([int(x) for x in e]) for e in rows["elite"]]
+    """An island with its own elite and, from the second epoch on, its neighbour's."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = sorted(rows.to_pylist(), key=lambda r: -r["native"])
+        row = found[0]
+        block, island, size = row["block"], row["island"], row["sizes"]
+        rng, least = random.Random(f"{seed} {block} {island} {epoch}"), -(-sum(size) // capacity)
+        elites = [_bins(r["elite"]) for r in found]
         best = min(elites, key=len)
         if len(best) > least:
-            some = elites + [mutate(elites[k % len(elites)], size, capacity, rng) for k in range(population - len(elites))]
+            if epoch:
+                some = elites + [mutate(elites[k % len(elites)], size, capacity, rng) for k in range(population - len(elites))]
+            else:
+                some = [best, *(first_fill(size, capacity, rng, 0.1 * (1 + island) * (k + 1) / population) for k in range(population - 1))]
             best = evolve(size, capacity, some, generations, rng)[0]
-        return pd.DataFrame({"block": [block], "island": [island], "items": [row["items"]], "sizes": [row["sizes"]], "elite": [_flat(best, len(size))], "done": [len(best) <= least]})
+        return _state(block, island, row["items"], size, best, least)
 
     return run
 
 
-def _pack_level(items: DataFrame, level: int, blocks: int, capacity: int, seed: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
+def _pack_level(items: DataFrame, level: int, rows: int, blocks: int, capacity: int, seed: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
     """Rows (item, block, bin, length) of all items; bin numbers count within a block."""
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.select("item", "length", F.pmod(F.xxhash64(F.lit(seed + level), "item"), F.lit(blocks)).alias("block"))
-    spread = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-    state = written(spread.repartition(n, "block", "island").groupBy("block", "island").applyInPandas(_start(capacity, seed, population, generations), _ISLAND), f"pack-{level}-0")
-    for epoch in range(1, epochs):
-        # Blocks whose elite meets the bound are done; in the others each elite also visits the next island.
-        settled = state.groupBy("block").agg(F.max("done").alias("settled"))
-        going = state.join(settled, "block").where(~F.col("settled")).drop("settled")
+    n = parts_for(items, rows)
+    prepare(items.sparkSession)
+    dealt = items.select("item", "length", "order", "copy", F.pmod(F.xxhash64(F.lit(seed + level), "order", "copy"), F.lit(blocks)).alias("block"))
+    state = written(dealt.repartition(n, "block").groupBy("block").applyInArrow(_first(capacity), _ISLAND), f"pack-{level}-first")
+    parts = [state.where("done")]
+    going = state.where("not done").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("native", F.lit(1))
+    for epoch in range(epochs):
         if going.isEmpty():
             break
-        visits = going.withColumn("native", F.lit(1)).unionByName(going.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).withColumn("native", F.lit(0)))
-        moved = visits.repartition(n, "block", "island").groupBy("block", "island").applyInPandas(_epoch(capacity, seed, population, generations, epoch), _ISLAND)
-        state = written(state.join(settled, "block").where("settled").drop("settled").unionByName(moved), f"pack-{level}-{epoch}")
+        moved = going.repartition(n, "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, seed, population, generations, epoch), _ISLAND)
+        state = written(moved, f"pack-{level}-{epoch}")
+        # Blocks whose elite meets the bound are done; in the others each elite also visits the next island.
+        settled = state.groupBy("block").agg(F.max("done").alias("settled"))
+        told = state.join(settled, "block")
+        parts.append((told.where("settled") if epoch < epochs - 1 else told).drop("settled"))
+        open_ = told.where("not settled").drop("settled").withColumn("native", F.lit(1))
+        going = open_.unionByName(open_.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).withColumn("native", F.lit(0)))
+    state = parts[0]
+    for x in parts[1:]:
+        state = state.unionByName(x)
     ranked = state.select("block", F.struct(F.array_max("elite").alias("bins"), "island").alias("rank"), "items", "sizes", "elite")
     best = ranked.groupBy("block").agg(F.min("rank").alias("rank"))
     won = ranked.join(best, ["block", "rank"])
@@ -240,33 +253,43 @@ def _pack_level(items: DataFrame, level: int, blocks: int, capacity: int, seed:
 
 def pack(found: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, poor: float = POOR, seed: int = SEED) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
-    # The written table fixes the numbers that tell pieces apart.
-    found = written(found.withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
+    # Pieces are dealt and ordered by a hash of what they are; only equal ones are told apart by number. The written
+    # table fixes ``item``, which names a piece within this run and decides nothing.
+    order = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    copy = F.row_number().over(Window.partitionBy("order").orderBy("doc_id", "piece", "length", "ids_crc32"))
+    found = written(found.withColumn("order", order).withColumn("copy", copy).withColumn("item", F.monotonically_increasing_id()), "pack-pieces")
     if found.where(F.col("length") > capacity).limit(1).count():
         raise ValueError("a piece is longer than a sequence")
-    items, level, done = found.where(F.col("length") < capacity).select("item", "length"), 0, []
-    left = items.count()
-    while True:
+    items, level, done = found.where(F.col("length") < capacity).select("item", "length", "order", "copy"), 0, []
+    left, before = items.count(), 0  # blocks of the levels before
+    width = 1 << (4 * block_items).bit_length()  # more than a block has bins
+    while left:
         blocks = max(1, -(-left // block_items))
-        packed = written(_pack_level(items, level, blocks, capacity, seed, islands, epochs, generations, population), f"pack-level-{level}")
-        if blocks == 1 or level == 4:
-            done.append((level, packed.select("item", "block", "bin")))
+        packed = written(_pack_level(items, level, left, blocks, capacity, seed, islands, epochs, generations, population), f"pack-level-{level}")
+        if blocks == 1:
+            done.append((before, packed.select("item", "block", "bin")))
             break
         fill = packed.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
         marked = written(packed.join(fill, ["block", "bin"]).withColumn("stays", F.col("fill") >= F.lit(poor * capacity)), f"pack-marked-{level}")
-        done.append((level, marked.where("stays").select("item", "block", "bin")))
-        items, level = marked.where(~F.col("stays")).select("item", "length"), level + 1
-        left = items.count()
-        if not left:
+        poor_items = marked.where(~F.col("stays")).count()
+        if poor_items > STUCK * left:
+            done.append((before, marked.select("item", "block", "bin")))
             break
+        done.append((before, marked.where("stays").select("item", "block", "bin")))
+        again = marked.where(~F.col("stays")).select("item", "length")
+        items = again.join(found.select("item", "order", "copy"), "item") if poor_items else items
+        level, left, before = level + 1, poor_items, before + blocks
     placed = None
     for k, d in done:
-        # A sequence's number holds its level, block and bin.
-        d = d.select(F.col("item").alias("of"), ((F.lit(k + 1).cast("long") * F.lit(1 << 58)) + F.col("block") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"))
+        # A sequence's number holds its block, counted over all levels, and bin.
+        number = (F.lit(k) + F.col("block")) * F.lit(width) + F.col("bin")
+        d = d.select(F.col("item").alias("of"), number.alias("sequence_id"))
         placed = d if placed is None else placed.unionByName(d)
-    joined = found.join(placed, found["item"] == placed["of"], "left").withColumn("sequence_id", F.coalesce("sequence_id", "item"))
-    before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "item").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("of", "item")
+    if placed is None:
+        placed = found.sparkSession.createDataFrame([], "of long, sequence_id long")
+    joined = found.join(placed, found["item"] == placed["of"], "left").withColumn("sequence_id", F.coalesce("sequence_id", -1 - F.col("item")))
+    earlier = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "order", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("of", "item", "order", "copy")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

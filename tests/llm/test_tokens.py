@@ -111,8 +111,14 @@ def test_packing_in_blocks_nears_the_bound(spark):
     df = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = packing.pack(df, capacity=100, block_items=200).collect()
     assert check_packing(rows, 100) <= 1.03 * -(-sum(sizes) // 100) and len(rows) == 900
-    again = packing.pack(df, capacity=100, block_items=200).collect()
-    assert {(r.doc_id, r.offset) for r in rows} == {(r.doc_id, r.offset) for r in again}
+    again = packing.pack(df.repartition(5), capacity=100, block_items=200).collect()  # other files, the same packing
+    assert {(r.doc_id, r.sequence_id, r.offset) for r in rows} == {(r.doc_id, r.sequence_id, r.offset) for r in again}
+
+
+def test_lengths_that_nothing_fits(spark):
+    df = spark.createDataFrame([(i, 0, 0, 60 if i % 50 else 100, 0) for i in range(300)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(df, capacity=100, block_items=50).collect()
+    assert check_packing(rows, 100) == 300 == len(rows)
 
 
 def test_genetic_steps_keep_every_item():
@@ -125,6 +131,15 @@ def test_genetic_steps_keep_every_item():
         assert sorted(i for x in c for i in x) == list(range(80)) and all(sum(size[i] for i in x) <= 100 for x in c)
 
 
-def test_query(spark):
+def test_queries(spark):
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    ids = {r.doc_id: np.array([*plain(r.text), 1], "<u4") for r in docs}
     rows = packing.op10_best_fit_packing(spark, SF).collect()
     assert check_packing(rows, 4096) <= 1.02 * -(-sum(r.length for r in rows) // 4096) + 1
+    want = sorted((d, k, i, len(x[i : i + 4096]), zlib.crc32(x[i : i + 4096].tobytes())) for d, x in ids.items() for k, i in enumerate(range(0, len(x), 4096)))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    at, want = 0, []
+    for d, x in ids.items():
+        want.append((d, at, len(x), zlib.crc32(x.tobytes())))
+        at += len(x)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_file.op1_token_files(spark, SF).collect()) == want
