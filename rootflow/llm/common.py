@@ -115,6 +115,14 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def to_binary(c: str) -> F.Column:
     """A text's UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")

@@ -8,7 +8,7 @@ are counted over every learning row, not over a sample.
 Weights are learned by follow-the-regularised-leader (per-coordinate learning rates) with elastic-net penalties:
 the L1 part keeps most weights exactly zero, the L2 part bounds the rest. The fit uses a bounded sample of
 labelled rows (``SAMPLE_PER_LANGUAGE`` rows expected for each language, chosen by a hash of doc_id; where all would
-be more than ``MAX_SAMPLE``, the same number of each language that has as many); a quarter of
+be more than ``MAX_SAMPLE`` rows or ``MAX_SAMPLE_BYTES``, the same number of each language that has as many); a quarter of
 the sample is held back from the weights, and one temperature is fitted on it so that scores are
 probabilities.
 
@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import documents, map_batches, slices
+from rootflow.llm.common import documents, free_name, map_batches, slices, written
 
 BUCKETS = 1 << 15
 MAX_N = 3
 SAMPLE_PER_LANGUAGE = 600
 MAX_SAMPLE = 6000
+#: Bytes of the sample's features; rows beyond go, in the same turns.
+MAX_SAMPLE_BYTES = 128 << 20
 SCALE = 40.0
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -221,7 +223,11 @@ def train(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int =
     chosen = rows.withColumn("rank", rank).where(F.col("rank") < share * float(1 << 40)).select("rank", "lang", "text")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "ids"))
     dealt = map_batches(chosen, _features, "rank long, lang string, ids binary, counts binary").withColumn("turn", turn)
-    sample = dealt.orderBy("turn", "rank", "lang", "ids").limit(MAX_SAMPLE).collect()
+    in_turns = ["turn", "rank", "lang", "ids"]
+    dealt = written(dealt.orderBy(*in_turns).limit(MAX_SAMPLE), "language-sample")
+    sizes = dealt.orderBy(*in_turns).select((2 * F.octet_length("ids")).alias("n")).collect()
+    most = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), MAX_SAMPLE_BYTES, side="right")))
+    sample = dealt.orderBy(*in_turns).limit(most).collect()
     sample.sort(key=lambda r: (r["rank"], r["lang"], bytes(r["ids"])))
     data, number = [], {lang: i for i, lang in enumerate(languages)}
     for r in sample:
@@ -256,7 +262,7 @@ def predict(docs: DataFrame, model: Model | None, language: str = "lang_pred", s
             columns = [b.column(i) for i in range(b.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(np.where(ok, sure, 0.0))], [*b.schema.names[:-2], language, score])
 
-    with_text = docs.select("*", F.coalesce("text", F.lit("")).alias("__text"), has_letter.alias("__letter"))
+    with_text = docs.select("*", F.coalesce("text", F.lit("")).alias(free_name("whole_text", docs)), has_letter.alias(free_name("has_letter", docs)))
     return map_batches(with_text, run, f"{fields}, `{language}` string, `{score}` double")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import WORD, documents, prepare, written
+from rootflow.llm.common import WORD, documents, parts_for, prepare, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -146,7 +146,7 @@ def _level(rows: DataFrame, groups: int, seed: int) -> DataFrame:
     """One level of the tree: rows meet by source and group, in an order that depends on ids alone."""
     prepare(rows.sparkSession)
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "salt"), F.lit(groups)))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(rows, groups * GROUP_ROWS)
     ordered = dealt.repartition(n, "source", "group").sortWithinPartitions("source", "group", F.col("size").desc(), "doc_id", "salt")
     return ordered.select("source", "doc_id", "salt", "size", "whole", "p", "group").mapInArrow(_round_groups(seed), _SCHEMA)
 
@@ -183,14 +183,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
     taken = mix_sources(docs, **options).groupBy("salt", "doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same")).where("copies > 0")
-    t = taken.select(F.col("doc_id").alias("__id"), F.col("salt").alias("__key"), F.col("copies").alias("__copies"), F.col("same").alias("__same"))
-    keyed = docs.withColumn("__salt", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(t, (keyed["__salt"] == t["__key"]) & keyed["doc_id"].eqNullSafe(t["__id"]))
+    t = taken.select(F.col("doc_id").alias("of"), F.col("salt").alias("of_salt"), "copies", "same")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("salt"), "doc_id", "source")
+    joined = rows.join(t, (rows["salt"] == t["of_salt"]) & rows["doc_id"].eqNullSafe(t["of"]))
     # Rows that are equal in id and text share their copies as evenly as they can.
-    nth = F.row_number().over(Window.partitionBy("__salt", "doc_id").orderBy("source"))
-    share = F.floor(F.col("__copies") / F.col("__same")) + (nth <= F.col("__copies") % F.col("__same")).cast("int")
-    many = joined.withColumn("__n", share).where("__n > 0")
-    return many.withColumn("__one", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("salt", "doc_id").orderBy("source"))
+    share = F.floor(F.col("copies") / F.col("same")) + (nth <= F.col("copies") % F.col("same")).cast("int")
+    many = joined.withColumn("many", share).where("many > 0")
+    return many.select("row", F.explode(F.sequence(F.lit(1), F.col("many").cast("int")))).select("row.*")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
