@@ -26,8 +26,9 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(language.learning_rows(docs))
-    told = language.predict(docs, model, "__lang_pred", "__score")
-    kept = told.where((F.col("__lang_pred") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)) if model is not None else told
+    named, score = common.free_name("lang_pred", docs), common.free_name("lang_score", docs)
+    told = language.predict(docs, model, named, score)
+    kept = told.where((F.col(named) != language.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)) if model is not None else told
     return kept.select(*docs.columns)
 
 
