@@ -2,8 +2,9 @@
 
 Each page is read into blocks (what a block-level tag or a ``br`` separates); elements that hold no article
 text are left out while reading: scripts, styles, forms, navigation, headers and footers of the page, asides,
-and elements whose class, id or role names a menu, a notice, an advert, a sidebar or comments. If a page has an
-``article`` or ``main`` element, only what lies in it counts.
+and elements whose class, id or role names a menu, a notice, an advert, a sidebar or comments: a class that is such a
+word, and outside an article also one that ends in such a word and names no content (``cookie-notice``, but neither
+``share-price`` nor ``article-header``). If a page has an ``article`` or ``main`` element, only what lies in it counts.
 
 Differencing. Within each host, pages are sorted by URL path, and each is paired with the neighbour whose path
 has the longest common prefix with its own. The two pages' block lists are aligned by longest common
@@ -14,9 +15,10 @@ So a template may be longer than its articles. With one other near page, or wher
 is compared; three edited versions of one article with no other page near can't be told from a template. What lies in an element that marks an article is template only
 if all near pages of the host (three at least) have it too: two articles may quote the same line.
 
-Distribution. Pages are range-partitioned by (host, path, page_id) and sorted; a task streams through them with
-a window of ``4 * REACH + 1`` pages, of which the nearest ``2 * REACH`` of the host are near pages, so a host with a third of all pages is spread over tasks like any other.
-A page at the border of a task or host has neighbours on one side only, as many if there are.
+Distribution. Pages are range-partitioned by (host, path, page_id, url, html) and sorted; a task streams through them
+with a window of ``4 * REACH + 1`` pages, of which the nearest ``2 * REACH`` of the host are near pages, so a host with a
+third of all pages is spread over tasks like any other. The few pages at the border of a range go on to a second
+pass, which has both sides of each border; so a result doesn't depend on the number or place of ranges.
 
 Defined results: null html is empty text; a null url is a host and path of its own (empty); rows that repeat a
 page_id or url are pages each; a page without neighbours in its host is not differenced; an empty table gives
@@ -29,14 +31,15 @@ import html
 import os
 import re
 from collections import deque
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import map_batches, parts_by_size
+from rootflow.llm.common import map_batches, parts_by_size, written
 
 REACH = 2
 #: Two pages that share at least this part of the smaller one's characters, without what all near pages have, are copies.
@@ -54,6 +57,8 @@ FURNITURE = frozenset(
     "gdpr header login masthead menu modal nav navbar navigation navigational newsletter notice pagination pager popup privacy promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words of a class or id that name content, so what follows them names a part of it.
+CONTENT = frozenset("article body content entry main page post section story text".split())
 _ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"])
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -62,13 +67,20 @@ _SPACE = re.compile(r"\s+")
 _CLOSES_P = BLOCKS - {"br"}
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _names_furniture(name: str, inside: bool) -> bool:
+    if name.lower() in FURNITURE:
+        return True
+    found = [w.lower() for w in _WORDS.findall(name)]
+    return not inside and bool(found) and found[-1] in FURNITURE and CONTENT.isdisjoint(found)
+
+
+def _furniture(tag: str, attributes: str, inside: bool = False) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in FURNITURE for w in _WORDS.findall(value)):
+            if any(_names_furniture(w, inside) for w in value.split()):
                 return True
         elif name == "role":
             if value.lower() in _ROLES:
@@ -130,7 +142,7 @@ def blocks(source: str) -> tuple[list[str], bool]:
         skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if tag in ("article", "main") and not skipped:
             inside = found_article = True
-        here = skipped or tag in SKIPPED or (tag == "header" and not inside) or _furniture(tag, m[4])
+        here = skipped or tag in SKIPPED or (tag == "header" and not inside) or _furniture(tag, m[4], inside)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             if not here:
@@ -151,32 +163,52 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.rpartition("@")[2].partition(":")[0].lower(), "/" + path
 
 
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with y[:0], y[:1], ..., y, by bits of whole numbers."""
+    m = len(y)
+    full = (1 << m) - 1
+    places: dict[int, int] = {}
+    for j, q in enumerate(y):
+        places[q] = places.get(q, 0) | 1 << j
+    v = full
+    for p in x:
+        u = v & places.get(p, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer((v ^ full).to_bytes(-(-m // 8), "little"), np.uint8), count=m, bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+
+
+def _matched(x: list[int], y: list[int], at: int, out: list[int]) -> None:
+    """Adds the places of x, counted from ``at``, that a longest common subsequence matches; memory grows with x and y, not their product."""
+    a = 0
+    while a < len(x) and a < len(y) and x[a] == y[a]:
+        a += 1
+    out.extend(range(at, at + a))
+    x, y, at = x[a:], y[a:], at + a
+    b = 0
+    while b < len(x) and b < len(y) and x[-1 - b] == y[-1 - b]:
+        b += 1
+    out.extend(range(at + len(x) - b, at + len(x)))
+    x, y = x[: len(x) - b], y[: len(y) - b]
+    if not x or not y:
+        return
+    if len(x) == 1:
+        out.extend([at] if x[0] in y else [])
+        return
+    half = len(x) // 2
+    cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+    _matched(x[:half], y[:cut], at, out)
+    _matched(x[half:], y[cut:], at + half, out)
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Places in a that a longest common subsequence with b matches."""
-    common = set(a) & set(b)
-    if not common:
-        return set()
-    # What only one side has can't match: the alignment runs over common blocks alone.
-    pa_, pb = [i for i, x in enumerate(a) if x in common], [i for i, x in enumerate(b) if x in common]
-    x, y = [a[i] for i in pa_], [b[i] for i in pb]
-    if len(x) * len(y) > 4_000_000:
-        return {pa_[i + k] for i, _, n in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(n)}
-    table = [[0] * (len(y) + 1)]
-    for p in x:
-        row, up = [0], table[-1]
-        for j, q in enumerate(y):
-            row.append(up[j] + 1 if p == q else max(up[j + 1], row[j]))
-        table.append(row)
-    out, i, j = set(), len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            out.add(pa_[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] >= table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out
+    # What only one side has can't match: the alignment runs over common blocks alone, by number.
+    number = {t: i for i, t in enumerate(set(a) & set(b))}
+    places = [i for i, t in enumerate(a) if t in number]
+    out: list[int] = []
+    _matched([number[a[i]] for i in places], [number[t] for t in b if t in number], 0, out)
+    return {places[i] for i in out}
 
 
 def differenced(page: list[str], near: list[list[str]], marked: bool = False, copies: float = COPIES) -> list[str]:
@@ -202,51 +234,117 @@ def differenced(page: list[str], near: list[list[str]], marked: bool = False, co
     return page
 
 
-def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES) -> DataFrame:
-    """Rows (page_id, url, text, n_chars) of (page_id, url, html)."""
+_EDGE = "range int, seq long, large boolean, head boolean, todo boolean, page_id long, url string, host string, path string, html string, text string, n_chars long"
+_EDGE_TYPES = [pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), *[pa.string()] * 5, pa.int64()]
+_EDGE_NAMES = [x.split()[0] for x in _EDGE.split(", ")]
+#: Fields of a page in the stream.
+_HTML, _BLOCKS = 4, 5
+
+
+def _text_of(window: Sequence[tuple], k: int, reach: int, copies: float) -> str:
+    """The text of the k-th page of a window of (page_id, url, host, path, html, blocks, marked)."""
+    _, _, host, path, _, page, marked = window[k]
+    places = sorted((abs(i - k), i) for i, o in enumerate(window) if i != k and o[2] == host and abs(i - k) <= 2 * reach)[: 2 * reach]
+    near = [(-len(os.path.commonprefix([path, window[i][3]])), d, i) for d, i in places]
+    return "\n".join(differenced(page, [window[i][_BLOCKS] for *_, i in sorted(near)], marked, copies))
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _EDGE_TYPES, strict=True)], _EDGE_NAMES)
+    out.clear()
+    return done
+
+
+def _inner(reach: int, copies: float):
+    """One range in order: the texts of its inner pages, and whole pages near its ends (all pages of a small range)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: deque = deque()  # (page_id, url, host, path, blocks, marked)
+        part, near, edge = TaskContext.get().partitionId(), 2 * reach, 4 * reach
+        window: deque = deque()
         out: list[tuple] = []
+        start = n = 0  # the number of the window's first page, and of pages so far
 
-        def result(k: int) -> None:
-            page_id, url, host, path, page, marked = window[k]
-            places = sorted((abs(i - k), i) for i, o in enumerate(window) if i != k and o[2] == host and abs(i - k) <= 2 * reach)[: 2 * reach]
-            near = [(-len(os.path.commonprefix([path, window[i][3]])), d, i) for d, i in places]
-            text = "\n".join(differenced(page, [window[i][4] for *_, i in sorted(near)], marked, copies))
-            out.append((page_id, url, text, len(text)))
+        def whole(k: int, large: bool, head: bool, todo: bool) -> None:
+            page = window[k - start]
+            out.append((part, k, large, head, todo, *page[:4], page[_HTML], None, None))
 
-        def batch() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], ["page_id", "url", "text", "n_chars"])
-            out.clear()
-            return done
+        def inner(k: int) -> None:
+            page, text = window[k - start], _text_of(list(window)[max(0, k - start - near) : k - start + near + 1], min(k - start, near), reach, copies)
+            out.append((part, k, True, False, False, *page[:4], None, text, len(text)))
 
-        done = 0  # pages of the window that have their result
         for b in batches:
             for page_id, url, host, path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                window.append((page_id, url, host, path, *blocks(source or "")))
-                if len(window) - done > 2 * reach:
-                    result(done)
-                    done += 1
-                if done > 2 * reach:
-                    window.popleft()
-                    done -= 1
+                window.append((page_id, url, host, path, source or "", *blocks(source or "")))
+                n += 1
+                if n == 2 * edge:  # a large range: its head goes on to the second pass
+                    for k in range(edge):
+                        whole(k, True, True, k < near)
+                if n >= 2 * edge:
+                    for k in range(near, n - near) if n == 2 * edge else (n - near - 1,):
+                        if k < n - near:
+                            inner(k)
+                    while len(window) > edge + near + 1:
+                        window.popleft()
+                        start += 1
             if out:
-                yield batch()
-        for k in range(done, len(window)):
-            result(k)
+                yield _batch(out)
+        for k in range(start, n):
+            if n < 2 * edge:
+                whole(k, False, False, True)
+            elif k >= n - edge:
+                whole(k, True, False, k >= n - near)
         if out:
-            yield batch()
+            yield _batch(out)
+
+    return run
+
+
+def _borders(reach: int, copies: float):
+    """Groups of neighbouring pages around borders, in order; the texts of those that are still to do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window, todo = None, [], []
 
+        def close() -> Iterator[pa.RecordBatch]:
+            near = 2 * reach
+            texts = [(window[k], _text_of(window[max(0, k - near) : k + near + 1], min(k, near), reach, copies)) for k in todo]
+            if texts:
+                columns = zip(*((p[0], p[1], t, len(t)) for p, t in texts), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+
+        for b in batches:
+            for group, wanted, page_id, url, host, path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != key:
+                    yield from close()
+                    key, window, todo = group, [], []
+                if wanted:
+                    todo.append(len(window))
+                window.append((page_id, url, host, path, source, *blocks(source)))
+        yield from close()
+
+    return run
+
+
+def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES, ranges: int | None = None) -> DataFrame:
+    """Rows (page_id, url, text, n_chars) of (page_id, url, html)."""
     rest = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][\w+.-]*:", ""), r"^/+", "")
     rest = F.regexp_extract(rest, r"^([^?#]*)", 1)
     place = F.regexp_extract(rest, r"^([^/]*)", 1)
     host = F.lower(F.regexp_extract(place, r"^(?:.*@)?([^:]*)", 1))
     path = F.concat(F.lit("/"), F.regexp_extract(rest, r"^[^/]*/(.*)$", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    order = ["host", "path", "page_id"]
-    ordered = rows.repartitionByRange(parts_by_size(pages), *order).sortWithinPartitions(*order, "url", F.xxhash64("html"))
-    return map_batches(ordered, run, "page_id long, url string, text string, n_chars long")
+    order = ["host", "path", "page_id", "url", F.xxhash64("html")]
+    ordered = rows.repartitionByRange(ranges or parts_by_size(pages), *order).sortWithinPartitions(*order)
+    found = written(map_batches(ordered, _inner(reach, copies), _EDGE), "pages")
+    edges = found.where("html is not null")
+    # Ends of large ranges part the borders; small ranges between them hang together. A row for each range.
+    large = edges.groupBy("range").agg(F.max(F.col("large").cast("int")).alias("n"))
+    before = large.select(F.col("range").alias("of"), F.sum("n").over(Window.orderBy("range")).alias("border"))
+    border = F.col("border") - (F.col("large") & F.col("head")).cast("int")
+    edges = edges.join(F.broadcast(before), F.col("range") == F.col("of")).withColumn("border", border)
+    edges = edges.repartition("border").sortWithinPartitions("border", "range", "seq").select("border", "todo", "page_id", "url", "host", "path", "html")
+    last = map_batches(edges, _borders(reach, copies), "page_id long, url string, text string, n_chars long")
+    return found.where("text is not null").select("page_id", "url", "text", "n_chars").unionByName(last)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

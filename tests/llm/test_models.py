@@ -243,8 +243,47 @@ def test_pages_without_marks_lose_what_neighbours_share(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
-def test_short_articles_in_a_long_template(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "parts_for", lambda *_: 1)  # no border of a task among these few pages
+@pytest.mark.parametrize("n", [3, 40, 300])
+def test_any_alignment_is_longest(n):
+    rng = np.random.default_rng(n)
+    a, b = ([f"line {x}" for x in rng.integers(0, n // 2, n)] for _ in range(2))
+    table = [[0] * (n + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(n):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    found, at = [a[i] for i in sorted(html_text.shared(a, b))], iter(b)
+    assert len(found) == table[n][n] and all(x in at for x in found)
+
+
+def test_classes_of_content_stay():
+    page = "<article><div class='article-header'><h1>Head</h1></div><p class='share-price'>12</p><p class='post-footer x'>End</p><div class='advert'>Buy</div></article>"
+    assert html_text.blocks(page)[0] == ["Head", "12", "End"]
+    assert html_text.blocks("<div class='entry-header'>Head</div><div id='cookie-notice'>c</div><div class='SiteFooter'>f</div><p class='share-price'>1</p>")[0] == ["Head", "1"]
+
+
+def test_ranges_do_not_matter(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(1000 + i, f"http://big.example/{i % 4}/{i:03}", f"<div>Menu {i % 5}</div><p>Own text {i}</p><div>Foot</div>") for i in range(90)], "page_id long, url string, html string"))
+    want = sorted(map(tuple, html_text.main_texts(df, ranges=1).collect()))
+    assert len(want) == df.count() and any("Own text 7" in t and "Foot" not in t for _, _, t, _ in want)
+    for ranges in (4, 40):
+        assert sorted(map(tuple, html_text.main_texts(df, ranges=ranges).collect())) == want
+
+
+def test_page_query(spark):
+    """The given pages mark their articles, so these are what a plain reading of the element gives."""
+    import html
+
+    rows = {r.page_id: r.text for r in html_text.op4_main_text(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for r in pages:
+        inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        parts = re.split(r"</?(?:p|br|h1|ul|li|div)[^>]*>", inner)
+        plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in parts]
+        assert rows[r.page_id] == "\n".join(p for p in plain if p)
+
+
+def test_short_articles_in_a_long_template(spark):
     menu = "".join(f"<div>Entry {i} of the long menu that all pages of this site have</div>" for i in range(20))
     rows = [(i, f"http://long.example/a/{i}", f"{menu}<p>Short text {i * 7}.</p><div>A notice</div>") for i in range(6)]
     # Two copies of one article among others of the template keep their article.
