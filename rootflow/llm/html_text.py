@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootflow.llm.common import map_batches, parts_by_size, written
+from rootflow.llm.common import map_batches, parts_by_size
 
 REACH = 2
 #: Two pages that share at least this part of the smaller one's characters, without what all near pages have, are copies.
@@ -234,11 +234,13 @@ def differenced(page: list[str], near: list[list[str]], marked: bool = False, co
     return page
 
 
-_EDGE = "range int, seq long, large boolean, head boolean, todo boolean, page_id long, url string, host string, path string, html string, text string, n_chars long"
-_EDGE_TYPES = [pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), *[pa.string()] * 5, pa.int64()]
-_EDGE_NAMES = [x.split()[0] for x in _EDGE.split(", ")]
-#: Fields of a page in the stream.
-_HTML, _BLOCKS = 4, 5
+_PAGE = "page_id long, url string, host string, path string, html string"
+_EDGE = "range int, seq long, large boolean, head boolean, todo boolean, " + _PAGE
+_EDGE_TYPES = [pa.int32(), pa.int64(), *[pa.bool_()] * 3, pa.int64(), *[pa.string()] * 4]
+_TEXT = "page_id long, url string, text string, n_chars long"
+_TEXT_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+#: The field of a page in the stream that has its blocks.
+_BLOCKS = 5
 
 
 def _text_of(window: Sequence[tuple], k: int, reach: int, copies: float) -> str:
@@ -249,52 +251,64 @@ def _text_of(window: Sequence[tuple], k: int, reach: int, copies: float) -> str:
     return "\n".join(differenced(page, [window[i][_BLOCKS] for *_, i in sorted(near)], marked, copies))
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _EDGE_TYPES, strict=True)], _EDGE_NAMES)
-    out.clear()
-    return done
+def _batch(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _ends(reach: int):
+    """The first and last ``4 * reach`` pages of a range in order, the outer half of them to do; all pages of a small range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, near, edge, n = TaskContext.get().partitionId(), 2 * reach, 4 * reach, 0
+        first: list[tuple] = []
+        last: deque = deque(maxlen=edge)
+        for page in _pages(batches):
+            if n < 2 * edge:
+                first.append(page)
+            last.append(page)
+            n += 1
+        if n < 2 * edge:
+            rows = [(part, k, False, False, True, *p) for k, p in enumerate(first)]
+        else:
+            rows = [(part, k, True, True, k < near, *p) for k, p in enumerate(first[:edge])]
+            rows += [(part, n - edge + k, True, False, k >= edge - near, *p) for k, p in enumerate(last)]
+        if rows:
+            yield _batch(rows, _EDGE, _EDGE_TYPES)
+
+    return run
 
 
 def _inner(reach: int, copies: float):
-    """One range in order: the texts of its inner pages, and whole pages near its ends (all pages of a small range)."""
+    """The texts of a range's pages but for those that ``_ends`` has to do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, near, edge = TaskContext.get().partitionId(), 2 * reach, 4 * reach
+        near, edge = 2 * reach, 4 * reach
         window: deque = deque()
         out: list[tuple] = []
         start = n = 0  # the number of the window's first page, and of pages so far
-
-        def whole(k: int, large: bool, head: bool, todo: bool) -> None:
-            page = window[k - start]
-            out.append((part, k, large, head, todo, *page[:4], page[_HTML], None, None))
-
-        def inner(k: int) -> None:
-            page, text = window[k - start], _text_of(list(window)[max(0, k - start - near) : k - start + near + 1], min(k - start, near), reach, copies)
-            out.append((part, k, True, False, False, *page[:4], None, text, len(text)))
-
-        for b in batches:
-            for page_id, url, host, path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                window.append((page_id, url, host, path, source or "", *blocks(source or "")))
-                n += 1
-                if n == 2 * edge:  # a large range: its head goes on to the second pass
-                    for k in range(edge):
-                        whole(k, True, True, k < near)
-                if n >= 2 * edge:
-                    for k in range(near, n - near) if n == 2 * edge else (n - near - 1,):
-                        if k < n - near:
-                            inner(k)
-                    while len(window) > edge + near + 1:
-                        window.popleft()
-                        start += 1
-            if out:
-                yield _batch(out)
-        for k in range(start, n):
-            if n < 2 * edge:
-                whole(k, False, False, True)
-            elif k >= n - edge:
-                whole(k, True, False, k >= n - near)
+        done = near  # the next page that gets its text; in a small range none does
+        for page in _pages(batches):
+            window.append((*page, *blocks(page[4] or "")))
+            n += 1
+            while n >= 2 * edge and done < n - near:
+                k = done - start
+                text = _text_of(list(window)[k - near : k + near + 1], near, reach, copies)
+                out.append((*window[k][:2], text, len(text)))
+                done += 1
+                if done - near > start:
+                    window.popleft()
+                    start += 1
+            if len(out) >= 256:
+                yield _batch(out, _TEXT, _TEXT_TYPES)
+                out = []
         if out:
-            yield _batch(out)
+            yield _batch(out, _TEXT, _TEXT_TYPES)
 
     return run
 
@@ -309,8 +323,7 @@ def _borders(reach: int, copies: float):
             near = 2 * reach
             texts = [(window[k], _text_of(window[max(0, k - near) : k + near + 1], min(k, near), reach, copies)) for k in todo]
             if texts:
-                columns = zip(*((p[0], p[1], t, len(t)) for p, t in texts), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+                yield _batch([(p[0], p[1], t, len(t)) for p, t in texts], _TEXT, _TEXT_TYPES)
 
         for b in batches:
             for group, wanted, page_id, url, host, path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -319,7 +332,7 @@ def _borders(reach: int, copies: float):
                     key, window, todo = group, [], []
                 if wanted:
                     todo.append(len(window))
-                window.append((page_id, url, host, path, source, *blocks(source)))
+                window.append((page_id, url, host, path, source, *blocks(source or "")))
         yield from close()
 
     return run
@@ -335,16 +348,15 @@ def main_texts(pages: DataFrame, reach: int = REACH, copies: float = COPIES, ran
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     order = ["host", "path", "page_id", "url", F.xxhash64("html")]
     ordered = rows.repartitionByRange(ranges or parts_by_size(pages), *order).sortWithinPartitions(*order)
-    found = written(map_batches(ordered, _inner(reach, copies), _EDGE), "pages")
-    edges = found.where("html is not null")
+    # Both read the same shuffle; of its pages few are ends.
+    found, edges = map_batches(ordered, _inner(reach, copies), _TEXT), map_batches(ordered, _ends(reach), _EDGE)
     # Ends of large ranges part the borders; small ranges between them hang together. A row for each range.
     large = edges.groupBy("range").agg(F.max(F.col("large").cast("int")).alias("n"))
     before = large.select(F.col("range").alias("of"), F.sum("n").over(Window.orderBy("range")).alias("border"))
     border = F.col("border") - (F.col("large") & F.col("head")).cast("int")
     edges = edges.join(F.broadcast(before), F.col("range") == F.col("of")).withColumn("border", border)
     edges = edges.repartition("border").sortWithinPartitions("border", "range", "seq").select("border", "todo", "page_id", "url", "host", "path", "html")
-    last = map_batches(edges, _borders(reach, copies), "page_id long, url string, text string, n_chars long")
-    return found.where("text is not null").select("page_id", "url", "text", "n_chars").unionByName(last)
+    return found.unionByName(map_batches(edges, _borders(reach, copies), _TEXT))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
