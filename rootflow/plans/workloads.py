@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootflow.operators import external as x
@@ -12,12 +14,11 @@ from rootflow.registry import register
 from rootflow.sources.tables import table
 
 
-@register("inverted_index", r"SELECT word, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
+@register("inverted_index", r"SELECT word, doc_id // 4096 AS block, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2")
 def q_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     # Words are made distinct inside each document before they are dealt.
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \\t\\n\\r\\f\\x0B]+"))).alias("word")).where("word <> ''")
-    ids = words.groupBy("word").agg(F.sort_array(F.collect_set("doc_id")).alias("k"))
-    return ids.select("word", F.array_join(F.transform("k", lambda v: v.cast("string")), ",").alias("doc_ids"))
+    return x.postings(words, "word", "doc_id").select("word", "block", F.array_join(F.col("documents").cast("array<string>"), ",").alias("doc_ids"))
 
 
 @register("word_counts", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
@@ -112,11 +113,12 @@ def q_graph_reachable(spark: SparkSession, d: str) -> DataFrame:
     return bfs_levels(edges(spark), 0).agg(rows().alias("n"))
 
 
-@register("search_cache_hits", "SELECT c_custkey, rank <= 38 AS cached FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer) WHERE c_custkey % 3 = 0")
+@register("search_cache_hits", "SELECT c_custkey, rank <= floor(sqrt(n)) AS cached FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank, count(*) OVER () AS n FROM customer)")
 def q_search_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     keys = x.global_row_number(table(spark, d, "customer").select("c_custkey"), "c_custkey", name="rank")
-    asked = table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey")
-    return asked.join(keys, "c_custkey").select("c_custkey", (F.col("rank") <= 38).alias("cached"))
+    asked = table(spark, d, "customer").select("c_custkey")
+    held = math.isqrt(asked.count())  # the cache holds the root of the keys
+    return asked.join(keys, "c_custkey").select("c_custkey", (F.col("rank") <= held).alias("cached"))
 
 
 # ---- batched streams, comparisons -----------------------------------------------------------------
@@ -126,8 +128,8 @@ def q_search_cache_hits(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_running_revenue(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     batches = x.buffer_batches(e, "at", "event_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast(MONEY)).alias("v"))
-    so_far = Window.orderBy("batch_id")  # one row per batch
-    return batches.select("batch_id", F.sum("n").over(so_far).cast("long").alias("processed"), F.sum("v").over(so_far).cast("double").alias("revenue"))
+    run = x.running_sum(batches, "batch_id", {"processed": "n", "revenue": "v"})
+    return run.select("batch_id", F.col("processed").cast("long").alias("processed"), F.col("revenue").cast("double").alias("revenue"))
 
 
 _BY_FLAG = "SELECT l_returnflag AS strategy, l_linenumber AS size, count(*) AS seconds, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS memory FROM lineitem GROUP BY 1, 2"

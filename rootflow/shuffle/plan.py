@@ -150,9 +150,32 @@ def _seconds(task: Task, nodes: list[Node], p: Plan) -> float:
     return max(network, disk) + 0.1 * cpu
 
 
-def execute(df: DataFrame, p: Plan, *keys: str) -> tuple[DataFrame, dict]:
-    """A real repartition as planned, and its rows, partitions and time."""
-    n, began = len(p.placement), time.time()
-    out = df.repartitionByRange(n, *keys) if p.strategy == "range_partition" else df.repartition(n, *keys)
-    stats = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("partitions"), F.max("n").alias("largest")).first()
-    return out, {**stats.asDict(), "seconds": time.time() - began}
+def execute(df: DataFrame, p: Plan, *keys: str) -> DataFrame:
+    """A real repartition as planned: by ranges or hashes, or in two steps down a tree of square-root fan-out."""
+    n = len(p.placement)
+    if p.strategy == "range_partition":
+        return df.repartitionByRange(n, *keys)
+    if p.strategy == "tree_aggregate" and n > 3:
+        df = df.repartition(math.isqrt(n), *keys)
+    return df.repartition(n, *keys)
+
+
+def combined(df: DataFrame, p: Plan, keys: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Sums and counts per key: combined before the planned shuffle, and by a salt in between where the plan is a tree.
+
+    ``values`` names each result's kind (sum or count) and column."""
+    first = {k: (F.sum if kind == "sum" else F.count)(c).alias(k) for k, (kind, c) in values.items()}
+    again = [F.sum(k).alias(k) for k in values]
+    if p.strategy != "tree_aggregate":
+        return df.groupBy(*keys).agg(*first.values())
+    # The fan-out spreads a key over so many tasks before its partial results meet.
+    fan = max(2, math.isqrt(len(p.placement)))
+    return df.withColumn("__fan", F.pmod(F.monotonically_increasing_id(), F.lit(fan))).groupBy(*keys, "__fan").agg(*first.values()).groupBy(*keys).agg(*again)
+
+
+def measured(df: DataFrame, p: Plan, *keys: str) -> dict:
+    """Rows, partitions, the largest partition and seconds of one run of the planned shuffle."""
+    began = time.time()
+    parts = execute(df, p, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    found = parts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("partitions"), F.max("n").alias("largest")).first()
+    return {**found.asDict(), "seconds": time.time() - began}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -66,3 +68,13 @@ def write_settings(settings: dict, path: str, style: str = "json") -> None:
         case _:
             raise ValueError(f"unknown style {style}")
     Path(path).write_text(text)
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new place below ``spark.checkpoint.dir``; a folder of this machine only where the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="rootflow-")
+    return f"{found.rstrip('/')}/rootflow-{tag}-{uuid.uuid4().hex}"

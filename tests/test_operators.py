@@ -39,7 +39,7 @@ def test_strategy_memory_and_recommendation():
 
 
 def test_intervals_policies():
-    assert iv.intervals(10, "exponential") == [2, 4, 4] and iv.intervals(5, "none") == [5] and iv.intervals(2500, "fixed") == [1000, 1000]
+    assert iv.intervals(10, "exponential") == [2, 4, 4] and iv.intervals(5, "none") == [5] and iv.intervals(2500, "fixed") == [1000, 1000, 500]
 
 
 def test_group_has_one_row_per_key_and_null_is_a_key(spark):
@@ -131,9 +131,34 @@ def test_shuffle_rules():
 
 def test_shuffle_runs(spark):
     p = sh.plan(sh.Task(4, 6, 2.0, keys="skewed"), sh.cluster(4))
-    _, stats = sh.execute(spark.range(1000), p, "id")
+    stats = sh.measured(spark.range(1000), p, "id")
     assert stats["rows"] == 1000 and stats["partitions"] <= 6
 
 
+def test_combined_in_two_steps(spark):
+    p = sh.plan(sh.Task(100, 16, 2.0), sh.cluster(12))
+    got = sh.combined(spark.range(100).selectExpr("id % 3 AS k", "id AS v"), p, ["k"], {"n": ("count", "v"), "t": ("sum", "v")}).collect()
+    assert p.strategy == "tree_aggregate" and {r.k: (r.n, r.t) for r in got} == {k: (len(range(k, 100, 3)), sum(range(k, 100, 3))) for k in range(3)}
+
+
+def test_numbers_of_a_hot_key(spark):
+    """A key that most rows have is cut by its ties; strings and nulls are numbered too."""
+    rows = [(None if i % 50 == 0 else 7.0 if i % 4 else float(i), i, f"k{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k double, id long, s string")
+    want = {i: n + 1 for n, (_, i, _) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert {r.id: r.row_number for r in x.global_row_number(df, "k", "id", buckets=7).collect()} == want
+    want = {i: n + 1 for n, (_, i, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[1])))}
+    assert {r.id: r.row_number for r in x.global_row_number(df, "s", "id", buckets=7).collect()} == want
+    ranges = x.ranged(df.where("k = 7"), ["k", "id"], 7).groupBy("__range").count().collect()
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) < 120
+    assert x.global_row_number(df.limit(0), "k", "id").count() == 0
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    got = {r.k: r.total for r in x.running_sum(df, "k", {"total": "v"}, buckets=5).collect()}
+    assert got == {k: k * (k + 1) for k in range(1000)}
+
+
 def test_break_even():
-    assert math.isinf(break_even_hours(100, 0.01, 1.5, 0.05)) and break_even_hours(1, 0.001, 3, 0.05) == 0
+    assert abs(break_even_hours(100, 0.01, 1.5, 0.05, 9.75) - 10) < 1e-9 and math.isinf(break_even_hours(1, 0.001, 3, 0.05, 1))
