@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -350,35 +350,68 @@ def test_transfer_keeps_words():
 # ---- the pipeline ---------------------------------------------------------------------------------
 
 
+def plain_pieces(rows):
+    """Multiset of what packing has to give for each row: (doc_id, piece, start, length, crc32)."""
+    from test_tokens import plain
+
+    out = Counter()
+    for d, t in rows:
+        ids = np.array([*plain(t), 1], "<u4")
+        out.update((d, k, i, len(ids[i : i + 4096]), zlib.crc32(ids[i : i + 4096].tobytes())) for k, i in enumerate(range(0, len(ids), 4096)))
+    return out
+
+
+def check_stages(spark, start):
+    """Each stage against a plain version over all that the one before it left; the last stage's pieces."""
+    import hashlib
+
+    import corpus_pipeline as p
+    from test_dedup import brute_lines, groups
+    from test_tokens import check_packing
+
+    of = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    stages, before = dict(p.STAGES), start
+    kept = common.written(stages["language"](spark, before, SF), "language")
+    letters = Counter((d, t) for d, t in of(before) if re.search(r"[^\W\d_]", t or ""))
+    assert not Counter(of(kept)) - letters and sum((letters - Counter(of(kept))).values()) <= 0.02 * sum(letters.values())
+    lines = common.written(stages["lines"](spark, kept, SF), "lines")
+    assert sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in of(lines) if d is not None) == sorted((d, h) for d, *_, h in brute_lines(of(kept)) if d is not None)
+    near = common.written(stages["near_copies"](spark, lines, SF), "near")
+    rows, first, want = of(lines), {}, Counter()
+    for (d, t), (_, n, c) in zip(rows, groups(rows, 5), strict=True):
+        if n:
+            first.setdefault(("id", c) if c is not None else ("none", t), []).append((d, t))
+        else:
+            want[d, t] += 1
+    alone = {k: min(v, key=lambda r: (r[0] is None, r[0])) for k, v in first.items()}
+    assert Counter(of(near)) == want + Counter(alone.values())
+    mixed = common.written(stages["mixture"](spark, near, SF), "mixture")
+    copies, rows = Counter(), Counter(of(near))
+    for r in source_mix.mix_sources(near).collect():
+        copies[r.doc_id] += r.copies
+    assert Counter(d for d, _ in of(mixed)) == +copies and set(of(mixed)) <= set(rows) and max(Counter(of(mixed)).values()) <= 2
+    for df in (kept, lines, near, mixed):
+        assert df.columns == start.columns
+    packed = stages["packing"](spark, mixed, SF).collect()
+    check_packing(packed, 4096)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == plain_pieces(of(mixed))
+    return packed
+
+
 def test_stages_of_awkward_documents(spark, docs, no_docs):
     import corpus_pipeline as p
 
-    for start in (docs, no_docs):
-        at = start
-        for name, stage in p.STAGES[:-1]:
-            at = common.written(stage(spark, at, SF), name)
-            assert at.columns == docs.columns
-        rows = p.STAGES[-1][1](spark, at, SF).collect()
-        assert bool(rows) == (start is docs)
+    check_stages(spark, docs)
+    at = no_docs
+    for name, stage in p.STAGES[:-1]:
+        at = common.written(stage(spark, at, SF), name)
+        assert at.columns == docs.columns
+    assert p.STAGES[-1][1](spark, at, SF).count() == 0
 
 
-def test_pipeline_stages(spark):
+def test_pipeline(spark):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["language", "lines", "near_copies", "mixture", "packing"]
-    docs = common.documents(spark, SF)
-    before = docs
-    for name, stage in p.STAGES[:-1]:
-        after = common.written(stage(spark, before, SF), name)
-        assert after.columns == docs.columns
-        if name in ("language", "lines"):
-            assert after.count() == before.count()  # every document here has letters
-        if name == "near_copies":
-            gone = {r.doc_id for r in before.select("doc_id").collect()} - {r.doc_id for r in after.select("doc_id").collect()}
-            from test_dedup import groups
-
-            want = {d for d, _, c in groups([(r.doc_id, r.text) for r in before.collect()], 5) if d != c}
-            assert gone == want
-        before = after
-    last = p.STAGES[-1][1](spark, before, SF)
-    assert last.agg({"length": "sum"}).first()[0] > 0 and "sequence_id" in last.columns
+    packed = check_stages(spark, common.documents(spark, SF))
+    assert sorted(map(tuple, packed)) == sorted(map(tuple, p.run(spark, SF).collect()))
