@@ -285,3 +285,23 @@ def test_estimates_are_near_the_truth():
         s, t = shingles(" ".join(a), 5), shingles(b, 5)
         errors.append(fingerprints.likeness(x, y) - len(s & t) / len(s | t))
     assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.06
+
+
+def test_fingerprint_query(spark):
+    rows = sorted(((r.doc_id, r.text or "") for r in common.documents(spark, SF).collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op6_fingerprints(spark, SF).collect()}
+    sets, off_edited, off_next = {d: shingles(t, 5) for d, t in rows}, [], []
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)]
+        m = len(t) // 2
+        edited = t[: len(t) - m] + after[1][:m]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        off_edited.append(r.near_edited - near(sets[d], shingles(edited, 5)))
+        off_next.append(r.near_next - near(sets[d], sets[after[0]]))
+    assert np.sqrt(np.mean(np.square(off_edited))) < 0.06 and np.sqrt(np.mean(np.square(off_next))) < 0.06
+    same_text = defaultdict(set)
+    for d, t in rows:
+        same_text[t].add(got[d].fingerprint)
+    assert all(len(v) == 1 for v in same_text.values())

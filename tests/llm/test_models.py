@@ -340,6 +340,23 @@ def test_mix_meets_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 60 for s in target)
 
 
+def test_mix_query(spark):
+    docs = {r.doc_id: r for r in common.documents(spark, SF).collect()}
+    words = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in docs.items()}
+    sizes = defaultdict(int)
+    for d, r in docs.items():
+        sizes[r.source] += words[d]
+    want, taken, longest = plain_targets(sizes), defaultdict(int), defaultdict(int)
+    rows = source_mix.op8_source_mix(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.source_size) for r in rows} == {d: (words[d], sizes[r.source]) for d, r in docs.items()} and len(rows) == len(docs)
+    for r in rows:
+        source = docs[r.doc_id].source
+        assert abs(r.target - want[source]) < 1e-6 and r.taken in (0, r.size, 2 * r.size)
+        taken[source] += r.taken
+        longest[source] = max(longest[source], r.size)
+    assert all(abs(taken[s] - want[s]) <= longest[s] for s in want)
+
+
 def test_transfer_keeps_words():
     for u in (0.0, 0.3, 0.999):
         for p, s, q, t in ((0.3, 5, 0.6, 9), (0.5, 100, 0.5, 1), (0.9, 2, 0.2, 70)):
