@@ -21,13 +21,13 @@ from rootflow.llm.common import slices, word_hashes, words
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of pieces that a worker remembers at a time, with what Python needs to hold them.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 #: What Python needs for an entry besides its bytes.
 _ENTRY = 180
 #: Longer pieces are not remembered.
 LONG_PIECE = 256
 #: Bytes of text that are cut into pieces at a time.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: A piece is cut between an ASCII letter (1) and one of these stops (2): the tokenizer always cuts there.
 _STOPS = ".,;:!?*%$#&"
 _TAIL = re.compile(r"([^\W\d_]+)([.,;:!?*%$#&]+)")
