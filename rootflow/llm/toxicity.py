@@ -13,7 +13,7 @@ Features are hashed lower-cased words (letters and digits) and their stems (firs
 by the smoothed log ratio of its document shares among positives and all texts. Confirmed labels are noisy, so a
 word counts only if its share of positives can't be chance given how many words are tested; a text's length
 doesn't matter, so one such word in a long text isn't drowned. Margins become scores by Bayes' rule: the share
-of positives at a margin, with the prior, made monotone (``calibrate``), over a quarter of the sample that the fit doesn't see.
+of positives at a margin, with the prior, made monotone (``calibrate``); a row's margin there comes from a fit that hasn't seen the row.
 
 Document shares come from counts over all learning rows (``word_counts``). The fit uses a bounded sample:
 ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows by a hash of doc_id, as sparse rows. Every word that
@@ -46,8 +46,8 @@ CHANCE = 0.02
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
 STEPS = 2500
-#: Every so many rows of the sample are held back from the fit and calibrate its scores.
-HELD_BACK = 4
+#: Parts of the sample; each calibrates with a fit that has not seen it.
+FOLDS = 4
 #: The prior is kept within these, and comes from so many of the surest words.
 LEAST_PRIOR, MOST_PRIOR = 0.002, 0.9
 SUREST = 64
@@ -267,18 +267,26 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
     # Labels may favour toxic texts. A word that only toxic texts hold is as frequent among all texts as among the
     # positives times the prior, so the surest words bound the prior from above.
     prior = min(prior, max(LEAST_PRIOR, float(np.median(odds[np.argsort(-surprise, kind="stable")[:SUREST]]))))
-    # Rows come by a hash of doc_id, so every so manieth is a random one. Few positives are all fitted and calibrate too.
-    back_p, back_u = (np.arange(len(f)) % HELD_BACK == 0 for f in (p, u))
-    if back_p.sum() < HELD_BACK * MIN_POSITIVE:
-        back_p = np.zeros(len(p), bool)
-    fit_p, fit_u = p.take(np.flatnonzero(~back_p)), u.take(np.flatnonzero(~back_u)) if len(u) >= HELD_BACK else u
-    w, bias = nn_pu(fit_p, fit_u, prior, seed=seed)
-    seen = np.zeros(len(known), bool)
-    seen[fit_p.at] = seen[fit_u.at] = True
-    if seen.any():
-        w[~seen] = w[seen].mean()
-    check_p, check_u = p.take(np.flatnonzero(back_p)) if back_p.any() else p, u.take(np.flatnonzero(back_u))
-    margins, scores = calibrate(check_p.margins(w, bias), check_u.margins(w, bias), prior)
+
+    def fit(p: Sparse, u: Sparse) -> tuple[np.ndarray, float]:
+        w, bias = nn_pu(p, u, prior, seed=seed)
+        seen = np.zeros(len(known), bool)
+        seen[p.at] = seen[u.at] = True
+        if seen.any():
+            w[~seen] = w[seen].mean()
+        return w, bias
+
+    # Rows come by a hash of doc_id, so every so manieth is a random one: each part gets its margins from a fit of the
+    # others. Too few rows for that are fitted and calibrate too.
+    w, bias = fit(p, u)
+    of_p, of_u = p.margins(w, bias), u.margins(w, bias)
+    if len(p) >= FOLDS * MIN_POSITIVE and len(u) >= FOLDS:
+        part_p, part_u = np.arange(len(p)) % FOLDS, np.arange(len(u)) % FOLDS
+        for k in range(FOLDS):
+            w_k, bias_k = fit(p.take(np.flatnonzero(part_p != k)), u.take(np.flatnonzero(part_u != k)))
+            of_p[part_p == k] = p.take(np.flatnonzero(part_p == k)).margins(w_k, bias_k)
+            of_u[part_u == k] = u.take(np.flatnonzero(part_u == k)).margins(w_k, bias_k)
+    margins, scores = calibrate(of_p, of_u, prior)
     return Model(known, (w * ratio).astype(np.float32), bias, margins, scores)
 
 
