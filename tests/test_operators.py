@@ -162,3 +162,33 @@ def test_running_sums(spark):
 
 def test_break_even():
     assert abs(break_even_hours(100, 0.01, 1.5, 0.05, 9.75) - 10) < 1e-9 and math.isinf(break_even_hours(1, 0.001, 3, 0.05, 1))
+
+
+def test_depth_first_order(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (7, 8), (4, 4)], "u long, v long")
+    assert graphs.depth_first(edges, 0) == [0, 1, 3, 2, 4]
+
+
+def test_external_map(spark, tmp_path):
+    m = keyed.ExternalMap(spark, f"file://{tmp_path}/m", "k long, v string", "k")
+    assert m.size() == 0 and m.items().columns == ["k", "v"]
+    m.put(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, v string"), "v")
+    m.put(spark.createDataFrame([(1, "d"), (3, "e")], "k long, v string"))
+    m.delete(spark.createDataFrame([(3,)], "k long"))
+    for _ in range(2):
+        assert {r.k: r.v for r in m.items().collect()} == {1: "d", 2: "c"} and m.size() == 2
+        assert [tuple(r) for r in m.get(spark.createDataFrame([(2,), (9,)], "k long")).collect()] == [(2, "c")]
+        m.compact()
+    assert len(m.runs) == 1
+
+
+def test_snapshots_restore_whole_ones(spark, tmp_path):
+    every = x.save_snapshots(spark.range(107), f"file://{tmp_path}/s", "id")
+    assert every == 10 and x.restored(spark, f"file://{tmp_path}/s").count() == 100
+    assert sorted(r.id for r in x.restored(spark, f"file://{tmp_path}/s", 3).collect()) == list(range(30))
+
+
+def test_small_frames_are_checked(spark):
+    assert x.small(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError):
+        x.small(spark.range(6), 5)
