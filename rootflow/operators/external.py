@@ -37,10 +37,15 @@ def group_by_external(df: DataFrame, keys: Sequence[Key], *aggregates: Column, b
     return df.groupBy(*keys).agg(*aggregates)
 
 
-def group_rows_external(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key with its rows as an ordered array. Only for groups that fit into a row."""
+def group_rows_external(df: DataFrame, keys: Sequence[Key], columns: Sequence[str], order: Sequence[str], width: int | None = None) -> DataFrame:
+    """One row per key with its rows as an ordered array, for groups that fit into a row.
+
+    With a width, one row per key and ``block``: the first order column, a whole number, is cut every ``width``
+    values. Of distinct numbers no row then holds more than ``width``, and a key that a third of all rows have is
+    dealt to as many tasks as it needs. A key's blocks in order are its group."""
     fields = [*order, *[c for c in columns if c not in order]]
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    block = [] if width is None else [F.floor(F.col(order[0]) / F.lit(width)).cast("long").alias("block")]
+    return df.groupBy(*keys, *block).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
 
 
 def join_external(left: DataFrame, right: DataFrame, left_key: str, right_key: str, null_safe: bool = False, how: str = "inner", hint: str | None = None) -> DataFrame:

@@ -47,12 +47,12 @@ def q_memory_level(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(40).select(size.alias("size")).select("size", Hierarchy().level_column(F.col("size")).alias("level"))
 
 
-@register("simulate_strategies", f"WITH m AS (SELECT n, s, CAST({_MEMORY} AS BIGINT) AS memory FROM {_GRID} WHERE s <> 'adaptive'), l AS (SELECT *, {_LEVEL.format(m='memory')} AS level FROM m) SELECT n, s AS strategy, memory, level, round(n * ({_LATENCY.format(l='level')})::DOUBLE * CASE s WHEN 'constant' THEN n WHEN 'logarithmic' THEN log2(n) WHEN 'sqrt_n' THEN sqrt(n) ELSE 1 END, 2) AS time_ns FROM l WHERE n <= 1000000")
+@register("simulate_strategies", f"WITH m AS (SELECT n, s, CAST({_MEMORY} AS BIGINT) AS memory FROM {_GRID}), l AS (SELECT *, {_LEVEL.format(m='memory')} AS level FROM m) SELECT n, s AS strategy, memory, level, round(log2(n * ({_LATENCY.format(l='level')})::DOUBLE * CASE s WHEN 'constant' THEN n WHEN 'logarithmic' THEN log2(n) WHEN 'sqrt_n' THEN sqrt(n) ELSE 1 END), 6) AS log_time_ns FROM l")
 def q_simulate_strategies(spark: SparkSession, d: str) -> DataFrame:
     h, n, s = Hierarchy(), F.col("n"), F.col("s")
-    m = grid(spark).where("s <> 'adaptive' and n <= 1000000").withColumn("memory", strategy_memory_column(n, s))
-    time = F.round(strategy_time_column(n, s, h.latency_column(F.col("memory"))), 2)
-    return m.select("n", s.alias("strategy"), "memory", h.level_column(F.col("memory")).alias("level"), time.alias("time_ns"))
+    m = grid(spark).withColumn("memory", strategy_memory_column(n, s))
+    time = F.round(F.log2(strategy_time_column(n, s, h.latency_column(F.col("memory")))), 6)
+    return m.select("n", s.alias("strategy"), "memory", h.level_column(F.col("memory")).alias("level"), time.alias("log_time_ns"))
 
 
 @register("checkpoint_schedule", "SELECT CAST(unnest(range(240, 60000, 240)) AS BIGINT) AS place")

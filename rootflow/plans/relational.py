@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,10 +190,14 @@ def q_group_external_count_sum(spark: SparkSession, d: str) -> DataFrame:
     return x.group_by_external(table(spark, d, "customer"), ["c_nationkey"], rows().alias("n"), money_sum("c_acctbal").alias("total"))
 
 
-@register("group_external_collect", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY 1")
+#: Values of an order key for one row of a collected group.
+WIDTH = 1 << 20
+
+
+@register("group_external_collect", f"SELECT o_custkey, o_orderkey // {WIDTH} AS block, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY 1, 2")
 def q_group_external_collect(spark: SparkSession, d: str) -> DataFrame:
-    g = x.group_rows_external(table(spark, d, "orders"), ["o_custkey"], [], ["o_orderkey"])
-    return g.select("o_custkey", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("order_keys"))
+    g = x.group_rows_external(table(spark, d, "orders"), ["o_custkey"], [], ["o_orderkey"], WIDTH)
+    return g.select("o_custkey", "block", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("order_keys"))
 
 
 @register("agg_basic", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty, min(l_extendedprice) AS least, max(l_extendedprice) AS most, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean FROM lineitem GROUP BY 1, 2")
@@ -227,11 +233,12 @@ def q_stream_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("variance"))
 
 
-@register("bucket_group", "SELECT 'group_' || CAST(floor(o_totalprice / 100) AS BIGINT) AS bucket, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY 1")
+@register("bucket_group", f"SELECT 'group_' || CAST(floor(o_totalprice / 100) AS BIGINT) AS bucket, o_orderkey // {WIDTH} AS block, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY 1, 2")
 def q_bucket_group(spark: SparkSession, d: str) -> DataFrame:
     b = F.concat(F.lit("group_"), F.floor(F.col("o_totalprice") / 100).cast("string"))
-    g = table(spark, d, "orders").groupBy(b.alias("bucket")).agg(rows().alias("n"), F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    return g.select("bucket", "n", F.array_join(F.transform("k", lambda v: v.cast("string")), ",").alias("order_keys"))
+    g = x.group_rows_external(table(spark, d, "orders"), [b.alias("bucket")], [], ["o_orderkey"], WIDTH)
+    keys = F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",")
+    return g.select("bucket", "block", F.size("rows").cast("long").alias("n"), keys.alias("order_keys"))
 
 
 @register("log_read_ratio", "SELECT count(*) FILTER (event_type IN ('view', 'click')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, round(count(*) FILTER (event_type IN ('view', 'click')) / count(*) FILTER (event_type IN ('view', 'click', 'purchase', 'signup')), 6) AS ratio FROM events")
@@ -308,9 +315,10 @@ def q_fold_checkpoint_total(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").agg(rows().alias("n"), money_sum("o_totalprice").alias("total"))
 
 
-@register("fold_checkpoint_snapshots", "SELECT n, CAST(total AS DOUBLE) AS total FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderkey) AS total FROM orders) WHERE n % 122 = 0")
+@register("fold_checkpoint_snapshots", "SELECT n, CAST(total AS DOUBLE) AS total FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderkey) AS total FROM orders) WHERE n % CAST(floor(sqrt((SELECT count(*) FROM orders))) AS BIGINT) = 0")
 def q_fold_checkpoint_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    s = x.running_snapshots(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice").cast(MONEY), "o_orderkey", every=122)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    s = x.running_snapshots(o, F.col("o_totalprice").cast(MONEY), "o_orderkey", every=max(1, math.isqrt(o.count())))
     return s.select(F.col("n").cast("long").alias("n"), F.col("total").cast("double").alias("total"))
 
 

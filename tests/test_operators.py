@@ -89,6 +89,17 @@ def test_batches(spark):
     assert x.UNKNOWN_BATCH == 31 and x.UNKNOWN_STREAM_BATCH == 1000
 
 
+def test_groups_in_blocks(spark):
+    """A hot key becomes several rows, none longer than the width, that hold its rows in order."""
+    df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, id % 3 * 0) AS k")
+    got = x.group_rows_external(df, ["k"], [], ["id"], width=64).collect()
+    assert len(got) == 2 * 16 and all(len(r["rows"]) <= 64 for r in got)
+    for key in (None, 0):
+        ids = [e["id"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["block"]) for e in r["rows"]]
+        assert ids == [i for i in range(1000) if (i % 10 == 0) == (key is None)]
+    assert x.group_rows_external(df.limit(0), ["k"], [], ["id"], width=64).count() == 0
+
+
 def test_snapshots(spark):
     got = x.running_snapshots(spark.range(1, 11), F.col("id"), "id", every=4).orderBy("n").collect()
     assert [(r.n, r.total) for r in got] == [(4, 10), (8, 36)]
